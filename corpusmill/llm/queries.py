@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import tokens
+from corpusmill.llm import neardup, tokens
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +21,21 @@ def p1_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_budget(p1_document_tokens(spark, folder), table(spark, folder, "training_manifest"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget)}
+def _p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    web = table(spark, folder, "fineweb").select(F.lit("fineweb").alias("scope"), F.col("row_id").alias("id"), "text")
+    chats = table(spark, folder, "nemotron_post_training").select(F.lit("nemotron_post_training").alias("scope"), F.col("row_id").alias("id"), neardup.chat_text().alias("text"))
+    return web.unionByName(chats)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = neardup.near_duplicates(_p4_records(spark, folder), neardup.HALF_OF_THREE_WORDS)
+    return neardup.record_pairs(near).select(F.col("scope").alias("source_table"), F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    near = neardup.near_duplicates(_p4_records(spark, folder), neardup.HALF_OF_THREE_WORDS)
+    return neardup.groups(near).withColumnRenamed("scope", "source_table").withColumnRenamed("id", "row_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p4_found, p4_groups)}
 ORACLES: dict[str, str] = {}
