@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import neardup, tokens
+from corpusmill.llm import neardup, pairs, tokens
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,20 @@ def p1_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_budget(p1_document_tokens(spark, folder), table(spark, folder, "training_manifest"))
 
 
+def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
+    math = table(spark, folder, "open_math_reasoning").select(
+        F.lit("open_math_reasoning").alias("source_table"), "row_id", F.lit("solution").alias("kind"), F.col("problem").alias("question"), F.col("generated_solution").alias("answer")
+    )
+    calls = table(spark, folder, "apigen_fc").select(
+        F.lit("apigen_fc").alias("source_table"), "row_id", F.lit("calls").alias("kind"), F.col("query").alias("question"), F.col("answers").alias("answer")
+    )
+    return pairs.pair_defects(math.unionByName(calls))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_defects(spark, folder).where("priority = 1").select("source_table", "row_id", "defect")
+
+
 def _p4_records(spark: SparkSession, folder: str) -> DataFrame:
     web = table(spark, folder, "fineweb").select(F.lit("fineweb").alias("scope"), F.col("row_id").alias("id"), "text")
     chats = table(spark, folder, "nemotron_post_training").select(F.lit("nemotron_post_training").alias("scope"), F.col("row_id").alias("id"), neardup.chat_text().alias("text"))
@@ -37,5 +51,5 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(near).withColumnRenamed("scope", "source_table").withColumnRenamed("id", "row_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p4_found, p4_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p3_found, p3_defects, p4_found, p4_groups)}
 ORACLES: dict[str, str] = {}
