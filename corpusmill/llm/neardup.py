@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.textnorm import WordHashes, distinct_pairs, mix64, shingle_sets
+from corpusmill.llm.textnorm import SHINGLE_TEXTS, WordHashes, distinct_pairs, mix64, shingle_sets
 from corpusmill.session import materialise
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Texts that are hashed at a time, which bounds a worker's memory whatever the Arrow batch holds.
-TEXTS_AT_A_TIME = 2_000
+TEXTS_AT_A_TIME = SHINGLE_TEXTS
 #: Entries (band key and fingerprint) that one task gets to sort.
-ENTRIES_PER_TASK = 1_500_000
+ENTRIES_PER_TASK = 600_000
 #: Candidate pairs emitted in one Arrow batch.
 PAIRS_AT_A_TIME = 200_000
 
@@ -68,28 +68,33 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
     Documents without elements get zeros.
     """
     out = np.zeros((n_docs, k), np.uint64)
-    todo = np.unique(doc)
+    todo = np.flatnonzero(np.bincount(doc, minlength=n_docs))
+    weight = weight.astype(np.float32)
     darts = k * (math.log(k) + 2.5)  # all but a twelfth of the documents are complete at once; the rest throw on
     while len(todo):
-        keep = np.isin(doc, todo)
-        at = np.searchsorted(todo, doc[keep])
-        el, w = element[keep], weight[keep]
-        limit = (darts / np.bincount(at, weights=w, minlength=len(todo)))[at]
+        place = np.full(n_docs, -1)
+        place[todo] = np.arange(len(todo))
+        at, el, w = place[doc], element, weight
+        if len(todo) < n_docs:
+            keep = at >= 0
+            at, el, w = at[keep], el[keep], w[keep]
+        limit = (darts / np.bincount(at, weights=w, minlength=len(todo))).astype(np.float32)
+        left = limit[at]
         best = np.full(len(todo) * k, np.iinfo(np.uint64).max, np.uint64)
-        rank = np.zeros(len(el))
         turn = 0
         while len(el):
             turn += 1
             with np.errstate(over="ignore"):
                 x = mix64(el + np.uint64(turn) * GOLDEN)
-            rank -= np.log(((x >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
-            on = rank < limit
-            el, w, at, limit, rank, x = el[on], w[on], at[on], limit[on], rank[on], x[on]
-            hit = ((x & np.uint64(0xFFFF)).astype(np.float64) + 0.5) * 2.0**-16 < w
-            y = mix64(x[hit])
-            slot = at[hit] * k + ((y >> np.uint64(40)) % np.uint64(k)).astype(np.int64)
-            packed = rank[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | y & np.uint64(0xFFFFFFFF)
-            np.minimum.at(best, slot, packed)
+            left += np.log(((x >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32))
+            on = np.flatnonzero(left > 0)
+            el, w, at, left, x = el[on], w[on], at[on], left[on], x[on]
+            hit = np.flatnonzero((x & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16) < w)
+            where = at[hit]
+            with np.errstate(over="ignore"):
+                y = x[hit] * GOLDEN
+            rank = (limit[where] - left[hit]).view(np.uint32).astype(np.uint64)
+            np.minimum.at(best, where * k + ((y >> np.uint64(32)) % np.uint64(k)).astype(np.int64), rank << np.uint64(32) | y >> np.uint64(32))
         best = best.reshape(len(todo), k)
         done = (best != np.iinfo(np.uint64).max).all(axis=1)
         out[todo[done]] = best[done]
@@ -259,7 +264,7 @@ def _sets(how: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 continue
             seen = np.union1d(seen, fresh)
             mine = np.isin(doc, chosen)
-            doc, small = distinct_pairs(doc[mine], element[mine] >> np.uint64(32))
+            doc, small = distinct_pairs(doc[mine], element[mine] >> np.uint64(21))
             edge = np.searchsorted(doc, chosen), np.searchsorted(doc, chosen, "right")
             small = small.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(

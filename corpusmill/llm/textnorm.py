@@ -51,8 +51,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Texts that ``shingle_sets`` takes at once; an element keeps the 53 bits that are left beside a text's number.
+SHINGLE_TEXTS = 2_048
+
+
 def shingle_sets(texts: Iterable[str | None], size: int, least_words: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of ``size`` successive words, of all texts together.
+    """Distinct 53-bit hashes of ``size`` successive words, of at most ``SHINGLE_TEXTS`` texts together.
 
     Returns (doc, hash), sorted by both; a text of fewer than ``least_words`` words has none.
     """
@@ -69,14 +73,19 @@ def shingle_sets(texts: Iterable[str | None], size: int, least_words: int, memo:
     if not flat:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h, n = np.array(flat, dtype=np.uint64), np.array(counts, dtype=np.int64)
-    doc = np.repeat(np.arange(len(n)), n)
+    doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     last = len(h) - size + 1
     with np.errstate(over="ignore"):
-        s = np.zeros(last, np.uint64)
-        for k in range(size):
-            s = mix64(s * np.uint64(0x9E3779B97F4A7C15) + h[k : last + k])
+        s = h[:last].copy()
+        for k in range(1, size):
+            s *= np.uint64(0x9E3779B97F4A7C15)
+            s ^= s >> np.uint64(29)
+            s += h[k : last + k]
+        s = mix64(s)
     whole = doc[:last] == doc[size - 1 :]
-    return distinct_pairs(doc[:last][whole], s[whole])
+    key = np.sort((doc[:last] << np.uint64(53) | s >> np.uint64(11))[whole])
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return (key >> np.uint64(53)).astype(np.int64), key & np.uint64((1 << 53) - 1)
 
 
 def distinct_pairs(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
