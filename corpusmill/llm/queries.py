@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import neardup, pairs, tokens
+from corpusmill.llm import leakage, neardup, pairs, tokens
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,5 +51,13 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(near).withColumnRenamed("scope", "source_table").withColumnRenamed("id", "row_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p3_found, p3_defects, p4_found, p4_groups)}
+def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_coverage(spark, folder).where(f"longest >= {leakage.LEAST}").select("doc_id", "item_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p3_found, p3_defects, p4_found, p4_groups, p6_found, p6_coverage)}
 ORACLES: dict[str, str] = {}
