@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import leakage, neardup, pairs, tokens
+from corpusmill.llm import leakage, moderation, neardup, pairs, tokens
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,5 +59,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_coverage(spark, folder).where(f"longest >= {leakage.LEAST}").select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p3_found, p3_defects, p4_found, p4_groups, p6_found, p6_coverage)}
+def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return moderation.moderate(table(spark, folder, "documents"), table(spark, folder, "moderation_samples"), table(spark, folder, "flag_terms"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_scores(spark, folder).where(f"score >= {moderation.THRESHOLD}").select("doc_id")
+
+
+def p7_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return moderation.source_rates(p7_scores(spark, folder))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p3_found, p3_defects, p4_found, p4_groups, p6_found, p6_coverage, p7_found, p7_scores, p7_source_rates)}
 ORACLES: dict[str, str] = {}
