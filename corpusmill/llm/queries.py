@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import leakage, moderation, neardup, pairs, tokens
+from corpusmill.llm import leakage, mixing, moderation, neardup, packing, pairs, tokens
+from corpusmill.session import materialise
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,18 @@ def p1_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_budget(p1_document_tokens(spark, folder), table(spark, folder, "training_manifest"))
 
 
+def _p2_mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(mixing.document_records(spark, table(spark, folder, "documents")), table(spark, folder, "datasets_config"))
+
+
+def p2_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _p2_mix(spark, folder)[0].select("phase", "name", F.col("id").alias("doc_id"), F.col("size").alias("n_tokens"), "uses")
+
+
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(*_p2_mix(spark, folder))
+
+
 def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
     math = table(spark, folder, "open_math_reasoning").select(
         F.lit("open_math_reasoning").alias("source_table"), "row_id", F.lit("solution").alias("kind"), F.col("problem").alias("question"), F.col("generated_solution").alias("answer")
@@ -51,6 +64,15 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(near).withColumnRenamed("scope", "source_table").withColumnRenamed("id", "row_id")
 
 
+def p5_windows(spark: SparkSession, folder: str) -> DataFrame:
+    sized = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), tokens.token_count(spark, F.col("text"), kind="bpe").alias("size"))
+    return packing.windows(materialise(sized), table(spark, folder, "curriculum")).withColumnRenamed("id", "doc_id")
+
+
+def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p5_windows(spark, folder))
+
+
 def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -71,5 +93,5 @@ def p7_source_rates(spark: SparkSession, folder: str) -> DataFrame:
     return moderation.source_rates(p7_scores(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p3_found, p3_defects, p4_found, p4_groups, p6_found, p6_coverage, p7_found, p7_scores, p7_source_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p2_selection, p2_shares, p3_found, p3_defects, p4_found, p4_groups, p5_windows, p5_fill, p6_found, p6_coverage, p7_found, p7_scores, p7_source_rates)}
 ORACLES: dict[str, str] = {}
