@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from corpusmill.functions.text import piece_words, pieces, rejoin, trim_text
 from corpusmill.operators.prefix import running_total
@@ -34,12 +36,56 @@ def prune_threshold(counts: DataFrame, target: int) -> DataFrame:
     return fits.agg(F.min("cnt").alias("threshold"), F.max("reach").alias("words_kept"))
 
 
+#: A vocabulary of up to so many words (about 30 MB) is sent to every worker; a larger one is joined.
+BROADCAST_WORDS = 1_000_000
+_PIECES = regex.compile(r"([\t-\r\x1c-\x20\x85\p{Z}]+)|([\p{L}\p{N}_]+)|(?s:.)")
+
+
+def keep_allowed(text: str, allowed: frozenset[str]) -> str | None:
+    """A text without the words outside ``allowed``, as ``functions.text.rejoin`` has it, in one pass."""
+    out: list[str] = []
+    blank_before, kept_before = True, False
+    for m in _PIECES.finditer(text):
+        piece, kind = m[0], m.lastindex
+        if kind == 1:
+            line = "\n" in piece
+            out.append("\n" if line else " ")
+            blank_before, kept_before = not line, False
+        elif kind == 2 and piece not in allowed:
+            if not blank_before:
+                out.append(" ")
+            blank_before = kept_before = False
+        else:
+            if kept_before:
+                out.append(" ")
+            out.append(piece)
+            blank_before, kept_before = False, True
+    return _EDGES.sub("", "".join(out)) or None
+
+
+_EDGES = regex.compile(r"\A[\t-\r\x1c-\x20\x85\p{Z}]+|[\t-\r\x1c-\x20\x85\p{Z}]+\Z")
+
+
 def normalise(docs: DataFrame, allowed: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts without the words outside the vocabulary; ``normalised`` is null where nothing is left.
 
-    Every distinct word of a document meets the vocabulary once, in a hash join whose side of allowed words is broadcast
-    only if Spark measures it as small; the words found come back as an array, so that pieces never leave their row.
+    The vocabulary is counted; up to BROADCAST_WORDS it travels to the workers and no text moves. A larger one is joined.
     """
+    words = [r[0] for r in allowed.select("word").limit(BROADCAST_WORDS + 1).collect()]
+    if len(words) > BROADCAST_WORDS:
+        return normalise_by_join(docs, allowed, order, text)
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    @arrow_udf("string")
+    def kept(texts: pa.Array) -> pa.Array:
+        vocabulary = shared.value
+        return pa.array([None if t is None else keep_allowed(t, vocabulary) for t in texts.to_pylist()], pa.string())
+
+    return docs.withColumn("normalised", kept(F.col(text)))
+
+
+def normalise_by_join(docs: DataFrame, allowed: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """``normalise`` for a vocabulary of any size: every distinct word of a document meets it once, and what is found comes back as an array."""
     split = docs.withColumn("pieces", pieces(F.col(text)))
     words = split.select(order, F.explode(F.array_distinct(piece_words(F.col(text)))).alias("word"))
     kept = words.join(allowed.select("word"), "word", "left_semi").groupBy(order).agg(F.collect_set("word").alias("kept"))
