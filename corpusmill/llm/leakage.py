@@ -22,8 +22,8 @@ from corpusmill.llm.textnorm import words
 
 #: Successive words that make a passage.
 LEAST = 13
-#: Words of evaluation texts that are broadcast at a time (about 100 MB as an index); more come in further passes.
-WORDS_PER_PASS = 2_000_000
+#: Words of evaluation texts that are broadcast at a time (about 30 MB as an index); more come in further passes.
+WORDS_PER_PASS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

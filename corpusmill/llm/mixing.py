@@ -39,7 +39,7 @@ def entries(config: DataFrame) -> DataFrame:
 def quality(text: Column) -> Column:
     """Share of letters in the whole text, not below LEAST_QUALITY: tables, logs and noise are drawn less often."""
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    return F.greatest(F.coalesce(letters / F.length(text), F.lit(0.0)), F.lit(LEAST_QUALITY))
+    return F.greatest(F.coalesce(letters / F.nullif(F.length(text), F.lit(0)), F.lit(0.0)), F.lit(LEAST_QUALITY))
 
 
 def place_records(records: DataFrame, targets: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def place_records(records: DataFrame, targets: DataFrame) -> DataFrame:
     """
     parts = F.split("folder", "/")  # an empty part at either end
     upward = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 2, n), "/"), F.lit("/")))
-    sized = records.where("size > 0 and folder is not null and folder <> '//'").withColumn("folder", F.explode(upward))
+    sized = records.where("size > 0 and folder is not null and folder <> '//'").select("id", "size", "quality", F.explode(upward).alias("folder"))
     # The entries are configuration: a row for each phase and name.
     joined = sized.join(F.broadcast(targets), "folder")
     claims = Window.partitionBy("phase", "id").orderBy(F.length("folder").desc(), "name")

@@ -133,9 +133,11 @@ def refuses(text: str) -> bool:
     return REFUSALS.search(_folded(fold(text))) is not None
 
 
-def closes(solution: str) -> bool:
-    """A closing statement of the result: boxed, labelled or stated to its end; or a bare result."""
+def closes(solution: str, question: str = "") -> bool:
+    """A closing statement of the result: boxed, labelled or stated to its end; or a bare result, also after the question restated."""
     text = _plain(solution).strip()
+    if question and text.startswith(question.strip()):
+        text = text[len(question.strip()) :].strip()
     if BOXED.search(text):
         return True
     folded = fold(text)
@@ -151,7 +153,7 @@ def solution_defects(problem: str | None, solution: str | None) -> list[str]:
     found = words(_plain(text))
     if _nothing(found):
         return ["empty"]
-    out, closed = [], closes(text)
+    out, closed = [], closes(text, problem or "")
     if copies_question(problem or "", text):
         out.append("copies_question")
     steps = "=" in text or "\\times" in text
