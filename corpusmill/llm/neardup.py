@@ -34,6 +34,8 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TEXTS_AT_A_TIME = SHINGLE_TEXTS
 #: Entries (band key and fingerprint) that one task gets to sort.
 ENTRIES_PER_TASK = 600_000
+#: Distinct texts in one bucket that are paired with each other; the texts of a larger one are searched by rare elements.
+LARGEST_BUCKET = 2_000
 #: Candidate pairs emitted in one Arrow batch.
 PAIRS_AT_A_TIME = 200_000
 
@@ -215,38 +217,47 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return high << np.uint64(32) | low, np.repeat(who, count)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of fingerprints that share a key, of the blobs of one task."""
-    got = [_unpack(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
-    if not got:
-        return
-    key, who = (np.concatenate(x) for x in zip(*got))
-    del got
-    key, who = distinct_pairs(key, who)
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    begin, size = edge[:-1], np.diff(edge)
-    begin, size = begin[size > 1], size[size > 1]
-    first, second, held = [], [], 0
-
-    def batch() -> pa.RecordBatch:
-        a, b = np.concatenate(first), np.concatenate(second)
-        a, b = distinct_pairs(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    for n in np.unique(size):
-        at = begin[size == n]
-        for shift in range(1, n):
-            rows = max(1, PAIRS_AT_A_TIME // int(n - shift))
-            for lo in range(0, len(at), rows):
-                left = (at[lo : lo + rows, None] + np.arange(n - shift)[None, :]).ravel()
-                first.append(who[left])
-                second.append(who[left + shift])
-                held += len(left)
-                if held >= PAIRS_AT_A_TIME:
-                    yield batch()
-                    first, second, held = [], [], 0
-    if held:
-        yield batch()
+def _candidates(largest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of fingerprints that share a key, of the blobs of one task; of buckets beyond ``largest`` the members, without partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_unpack(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
+        if not got:
+            return
+        key, who = (np.concatenate(x) for x in zip(*got))
+        del got
+        key, who = distinct_pairs(key, who)
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        begin, size = edge[:-1], np.diff(edge)
+        begin, size = begin[size > 1], size[size > 1]
+        large = size > largest
+        if large.any():
+            alone = np.unique(np.concatenate([who[b : b + n] for b, n in zip(begin[large], size[large])])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64())], ["a", "b"])
+            begin, size = begin[~large], size[~large]
+        first, second, held = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            a, b = np.concatenate(first), np.concatenate(second)
+            a, b = distinct_pairs(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        for n in np.unique(size):
+            at = begin[size == n]
+            for shift in range(1, n):
+                rows = max(1, PAIRS_AT_A_TIME // int(n - shift))
+                for lo in range(0, len(at), rows):
+                    left = (at[lo : lo + rows, None] + np.arange(n - shift)[None, :]).ravel()
+                    first.append(who[left])
+                    second.append(who[left + shift])
+                    held += len(left)
+                    if held >= PAIRS_AT_A_TIME:
+                        yield batch()
+                        first, second, held = [], [], 0
+        if held:
+            yield batch()
+
+    return run
 
 
 def _sets(how: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -297,6 +308,37 @@ def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _prefixes(threshold: float, stops) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(element, fp) of each set's first elements, frequent ones last: sets of similarity ``threshold`` share one of them."""
+    common = np.unique(np.concatenate([np.empty(0, np.uint64), *stops.values()]) >> np.uint64(21)).astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_e, out_f = [], []
+            for fp, members in zip(batch.column("fp").to_pylist(), batch.column("members").to_pylist()):
+                e = np.frombuffer(members, np.uint32)
+                order = np.lexsort((e, np.isin(e, common)))
+                first = e[order[: len(e) - math.ceil(threshold * len(e) - 1e-9) + 1]]
+                out_e.append(first.astype(np.int64))
+                out_f.append(np.full(len(first), fp, np.int64))
+            if out_e:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_e)), pa.array(np.concatenate(out_f))], ["element", "fp"])
+
+    return run
+
+
+def _pairs_of_large(large: DataFrame, members: DataFrame, sets: DataFrame, threshold: float, stops: dict[str, np.ndarray]) -> DataFrame:
+    """Candidates among the texts of large buckets, none lost: those that share one of their first elements in a common order.
+
+    What such texts have in common is frequent and comes last, so that only texts close to each other meet.
+    """
+    firsts = sets.join(large.distinct(), "fp", "left_semi").mapInArrow(_prefixes(threshold, stops), "element bigint, fp bigint")
+    scopes = members.join(large.distinct(), "fp", "left_semi").select("fp", "scope").distinct()
+    firsts = materialise(firsts.join(scopes, "fp"))
+    left, right = firsts.withColumnRenamed("fp", "a"), firsts.withColumnRenamed("fp", "b")
+    return left.join(right, ["scope", "element"]).where("a < b").select("a", "b").distinct()
+
+
 @dataclass
 class NearDuplicates:
     """``members``: scope, fp, id of every record that takes part. ``links``: a, b, similarity of different classes, each pair once."""
@@ -330,8 +372,14 @@ def near_duplicates(records: DataFrame, how: Similarity) -> NearDuplicates:
     tasks = max(1, min(60_000, math.ceil(sum(texts.values()) * how.bands / ENTRIES_PER_TASK)))
     tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = records.mapInArrow(_bands(how, tasks, stops), "task int, blob binary").repartitionById(tasks, F.col("task"))
-    pairs = packed.mapInArrow(_candidates, "a bigint, b bigint").distinct()
+    pairs = materialise(packed.mapInArrow(_candidates(LARGEST_BUCKET), "a bigint, b bigint").distinct())
     sets = records.mapInArrow(_sets(how), "fp bigint, members binary").groupBy("fp").agg(F.first("members").alias("members"))
+    large = pairs.where("b is null").select(F.col("a").alias("fp"))
+    pairs = pairs.where("b is not null")
+    if large.limit(1).count():
+        # Pairs come with the smaller value, unsigned, first in one case and signed in the other.
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = ordered.union(_pairs_of_large(large, members, sets, how.threshold, stop)).distinct()
     found = (
         pairs.join(sets.hint("shuffle_merge").select(F.col("fp").alias("a"), F.col("members").alias("members_a")), "a")
         .join(sets.hint("shuffle_merge").select(F.col("fp").alias("b"), F.col("members").alias("members_b")), "b")

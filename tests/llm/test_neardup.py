@@ -41,8 +41,10 @@ def corpus(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_pairs_against_all_comparisons(spark, seed):
+@pytest.mark.parametrize(("seed", "largest"), [(1, 2_000), (2, 2_000), (3, 2), (4, 1)])
+def test_pairs_against_all_comparisons(spark, monkeypatch, seed, largest):
+    """With all buckets paired, with large ones searched by prefixes, and with every bucket searched so."""
+    monkeypatch.setattr(neardup, "LARGEST_BUCKET", largest)
     texts = corpus(seed)
     rows = [("a" if i % 9 else "b", i, t, "clash") for i, t in enumerate(texts)]
     rows += [("a", 1000 + k, texts[1], "clash") for k in range(4)]  # copies
