@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.functions.charcodes import char_ids, with_end
-from corpusmill.operators import chat, checkpoints, curriculum, kernels, metrics, packing, paths, rewards, sampling, vocabulary
+from corpusmill.operators import chat, checkpoints, curriculum, kernels, metrics, packing, paths, rewards, sampling, tokenizers, vocabulary
 from corpusmill.operators.prefix import running_total
 from corpusmill.sources import scan
 from corpusmill.streaming import streams
@@ -684,3 +684,40 @@ def j_ingested_domains(spark: SparkSession, folder: str) -> DataFrame:
     docs = streams.files(spark, folder, table(spark, folder, "documents").schema, "documents.parquet")
     lines = docs.where("text <> ''").select(paths.infer_domain(F.col("path")).alias("domain"))
     return streams.run_to_table(lines.groupBy("domain").agg(F.count(F.lit(1)).alias("n")), "complete")
+
+
+# Tokenizers
+
+_TEMPLATES = {"qa": "Passage:\n{text}\nQuestions:", "short": "In short {braces}: {text}"}
+
+
+@query("""
+SELECT item_id::VARCHAR AS name, length(text) AS base_tokens, strlen(text) AS custom_tokens, CASE WHEN length(text) > 0 THEN round(strlen(text)::DOUBLE / length(text), 6) END AS ratio,
+ true AS roundtrip_exact, substring(text, 1, 160) AS preview FROM eval_items""")
+def e7_tokenizer_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Code points against bytes, two tokenizers that SQL has as well."""
+    samples = table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("name"), "text")
+    report = tokenizers.compare(samples, tokenizers.CodePoints(), tokenizers.Utf8Bytes())
+    return report.select("name", F.col("base_tokens").cast("long"), F.col("custom_tokens").cast("long"), F.round("ratio", 6).alias("ratio"), "roundtrip_exact", "preview")
+
+
+@query("SELECT doc_id, length(text) AS had, least(length(text), 500) AS kept FROM documents WHERE text IS NOT NULL")
+def i15_token_budget_of_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("text is not null")
+    cut = tokenizers.within_tokens(tokenizers.CodePoints(), F.col("text"), 500)
+    return docs.select("doc_id", F.length("text").cast("long").alias("had"), F.length(cut).cast("long").alias("kept"))
+
+
+@query("""
+SELECT strategy, md5(replace(template, '{text}', text)) AS prompt_md5 FROM documents, (VALUES ('qa', 'Passage:' || chr(10) || '{text}' || chr(10) || 'Questions:'), ('short', 'In short {braces}: {text}')) t(strategy, template)
+WHERE length(text) > 50""")
+def d7_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    made = tokenizers.prompts(a10_source_texts(spark, folder), _TEMPLATES, "source_text")
+    return made.select("strategy", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("SELECT 'echo' AS strategy, count(*) AS n, sum(length(text) + 7)::BIGINT AS chars FROM documents WHERE length(text) > 50")
+def k8_generated(spark: SparkSession, folder: str) -> DataFrame:
+    """The model is a stand-in that repeats its prompt."""
+    made = tokenizers.generate(tokenizers.prompts(a10_source_texts(spark, folder), {"echo": "Say: <{text}>"}, "source_text"), list)
+    return made.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("generated")).cast("long").alias("chars"))
