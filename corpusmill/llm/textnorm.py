@@ -11,7 +11,7 @@ import regex
 import xxhash
 
 #: Characters that carry no text.
-INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
 WORD = re.compile(r"[^\W_]+")
 MARKS = regex.compile(r"\p{M}+")
 #: Words kept in a worker's table of hashes before it is emptied; it only saves time.
@@ -22,7 +22,7 @@ def fold(text: str) -> str:
     """Compatibility-decomposed lower case without invisible characters and combining marks."""
     if text.isascii():
         return text.lower()
-    return MARKS.sub("", unicodedata.normalize("NFKD", text.translate(INVISIBLE)).lower())
+    return MARKS.sub("", unicodedata.normalize("NFKD", INVISIBLE.sub("", text)).lower())
 
 
 def words(text: str | None) -> list[str]:
