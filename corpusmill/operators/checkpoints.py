@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import io
+import zipfile
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from corpusmill.operators.paths import checkpoint_step
 
@@ -47,3 +52,26 @@ def ready(files: DataFrame, earlier: DataFrame, now: float, min_age: float) -> D
     old = F.lit(min_age <= 0) | (F.lit(now) - F.col("mtime") >= min_age)
     before = earlier.select("path", F.col("size").alias("size_before"), F.col("mtime").alias("mtime_before"))
     return files.where(old & (F.col("size") > 0)).join(before, "path").where("size = size_before and mtime = mtime_before").select("path", "size", "mtime")
+
+
+def discover(spark: SparkSession, folder: str, glob: str = "step_*.pt") -> DataFrame:
+    """path, size, mtime (seconds), step of the files of a folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+    return with_step(found.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").cast("double").alias("mtime"))).withColumn("mtime", F.col("mtime") / 1e6)
+
+
+def whole_archives(files: DataFrame, content: str = "content") -> DataFrame:
+    """Files whose content is a zip archive that can be read to its end; the first bytes are looked at before Python is asked."""
+
+    @arrow_udf("boolean")
+    def readable(blobs: pa.Array) -> pa.Array:
+        def check(blob: bytes | None) -> bool:
+            try:
+                with zipfile.ZipFile(io.BytesIO(blob or b"")) as archive:
+                    return archive.testzip() is None
+            except (zipfile.BadZipFile, OSError, EOFError, ValueError):
+                return False
+
+        return pa.array([check(b) for b in blobs.to_pylist()])
+
+    return files.where(F.substring(content, 1, 2) == F.lit(b"PK")).where(readable(F.col(content)))

@@ -50,8 +50,9 @@ def segment_ids(cu: Column, length: int) -> Column:
 
 def segment_changes(segments: Column) -> Column:
     """Positions at which a segment differs from the one before."""
-    marked = F.transform(segments, lambda s, i: F.when((i > 0) & (s != F.get(segments, i - 1)), i))
-    return F.filter(marked, lambda i: i.isNotNull())
+    n = F.size(segments) - 1
+    changed = F.zip_with(F.slice(segments, 1, n), F.slice(segments, 2, n), lambda before, here: before != here)
+    return F.filter(F.transform(changed, lambda c, i: F.when(c, i + 1)), lambda i: i.isNotNull())
 
 
 def eval_windows(n: Column, length: int) -> Column:

@@ -100,3 +100,11 @@ def draw_streams(draws: DataFrame, streams: DataFrame, seed: int, key: str = "dr
 def repeat_epochs(df: DataFrame, epochs: int) -> DataFrame:
     """A bounded source read ``epochs`` times over."""
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+
+
+def take_split(df: DataFrame, rows: int, selection: str, order: list[str], allow_partial: bool = False) -> DataFrame:
+    """The head or tail of a split; fewer rows than asked are refused unless ``allow_partial``, none always."""
+    there = df.count()
+    if there == 0 or (there < rows and not allow_partial):
+        raise ValueError(f"{rows} rows asked of {there}")
+    return head(df, rows, order) if selection == "head" else tail(df, rows, order)

@@ -170,7 +170,7 @@ def i27_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.length("text").cast("long").alias("n_points"), tx.utf8_length(F.col("text")).cast("long").alias("n_bytes"))
 
 
-@query("SELECT source, sum(strlen(text)) AS n_bytes FROM documents GROUP BY source")
+@query("SELECT source, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY source")
 def e21_corpus_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy("source").agg(F.sum(tx.utf8_length(F.col("text")).cast("long")).alias("n_bytes"))
 
@@ -721,3 +721,43 @@ def k8_generated(spark: SparkSession, folder: str) -> DataFrame:
     """The model is a stand-in that repeats its prompt."""
     made = tokenizers.generate(tokenizers.prompts(a10_source_texts(spark, folder), {"echo": "Say: <{text}>"}, "source_text"), list)
     return made.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("generated")).cast("long").alias("chars"))
+
+
+# Small rules
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS round, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS micro_batch FROM documents")
+def f10_fixed_groups(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.lit(1).alias("one"))
+    ranked = running_total(docs, "one", ["doc_id"], out="nth").withColumn("at", F.col("nth") - 1)
+    return ranked.select("doc_id", F.floor(F.col("at") / 64).cast("long").alias("round"), F.floor(F.col("at") / 8).cast("long").alias("micro_batch"))
+
+
+@query(f"SELECT row_id, greatest(n_trained, 1) AS valid FROM (SELECT row_id, coalesce(list_sum(list_transform(list_filter(ms, lambda m: m.role = 'assistant'), lambda m: length(m.content) + 2)), 0)::BIGINT AS n_trained FROM ({_CHAT}))")
+def e16_valid_labels(spark: SparkSession, folder: str) -> DataFrame:
+    _, labels = chat.chat_ids(F.col("messages"), 1 << 30)
+    return _chats(spark, folder).select("row_id", kernels.valid_labels(labels).cast("long").alias("valid"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id < 32 THEN vec_id ELSE vec_id - 24 END AS source_layer FROM embeddings")
+def d13_grown_layers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", kernels.duplicated_layer(F.col("vec_id")).alias("source_layer"))
+
+
+@query("SELECT event_id, round(least(exp(r) * a, greatest(least(exp(r), 1.2), 0.8) * a), 6) AS objective FROM (SELECT event_id, (event_id % 11 - 5) / 10.0::DOUBLE AS r, value::DOUBLE AS a FROM events)")
+def i35_clipped_objective(spark: SparkSession, folder: str) -> DataFrame:
+    """Log ratios are a stand-in of a model's; advantages are the events' values."""
+    events = table(spark, folder, "events").select("event_id", F.exp((F.col("event_id") % 11 - 5) / F.lit(10.0)).alias("ratio"), F.col("value").cast("double").alias("a"))
+    return events.select("event_id", F.round(rewards.clipped(F.col("ratio"), F.col("a")), 6).alias("objective"))
+
+
+@query("SELECT stream, block, len(list_filter(string_split(cu, ','), lambda c: c::BIGINT > 0)) - 1 AS changes FROM (" + _PACKED + ")")
+def f12_segment_changes(spark: SparkSession, folder: str) -> DataFrame:
+    changes = packing.segment_changes(packing.segment_ids(F.col("cu"), _LENGTH))
+    return _packed(spark, folder).select("stream", "block", F.size(changes).cast("long").alias("changes"))
+
+
+@query("SELECT path, step FROM (SELECT path, " + _STEP + " AS step FROM (" + _RUNS + ")) WHERE step IN (SELECT run_id * 100 FROM training_manifest WHERE vocab_size = 64000)")
+def d2_wanted_steps(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = table(spark, folder, "training_manifest").where("vocab_size = 64000").select((F.col("run_id") * 100).alias("step")).distinct()
+    return checkpoints.with_step(_runs(spark, folder)).join(wanted, "step", "left_semi").select("path", "step")

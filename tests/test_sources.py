@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from corpusmill.operators import checkpoints, sampling
 from corpusmill.sources import scan, sinks
 from corpusmill.streaming import streams
 
@@ -113,3 +114,23 @@ def test_delivery_defers_and_sends_once(spark, tmp_path):
     os.utime(tmp_path / "in/step_2.pt", (clock[0] - 5, clock[0] - 5))
     run()
     assert sent == ["step_1.pt"]
+
+
+def test_discovered_checkpoints_and_archives(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "step_7.pt", "w") as z:
+        z.writestr("a", "b")
+    (tmp_path / "step_12.pt").write_bytes(b"PK\x03\x04 cut off")
+    (tmp_path / "step_3.pt").write_text("x")
+    assert [r["step"] for r in checkpoints.discover(spark, str(tmp_path)).orderBy("step").collect()] == [3, 7, 12]
+    whole = checkpoints.whole_archives(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert [os.path.basename(r["path"]) for r in whole.select("path").collect()] == ["step_7.pt"]
+
+
+def test_split_selection(spark):
+    assert [r["id"] for r in sampling.take_split(spark.range(9), 2, "tail", ["id"]).collect()] == [7, 8]
+    assert sampling.take_split(spark.range(3), 5, "head", ["id"], allow_partial=True).count() == 3
+    for df in (spark.range(3), spark.range(0)):
+        with pytest.raises(ValueError):
+            sampling.take_split(df, 5, "head", ["id"], allow_partial=df.count() == 0)
