@@ -42,10 +42,14 @@ def inputs_and_targets(ids: Column, length: int) -> tuple[Column, Column]:
 
 
 def segment_ids(cu: Column, length: int) -> Column:
-    """Number of the document at every position; ends beyond ``length`` are dropped, what follows the last is the last's."""
+    """Number of the document at every position, from the ascending document bounds of a block, the first of which is 0.
+
+    Bounds beyond ``length`` are dropped; what follows the last one kept is a segment of its own.
+    """
     kept = F.array_distinct(F.array_append(F.filter(cu, lambda c: c <= length), F.lit(length)))
-    last = F.size(kept) - 2
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda p: F.least(F.size(F.filter(kept, lambda c: c <= p)) - 1, last))
+    n = F.size(kept) - 1
+    spans = F.zip_with(F.slice(kept, 1, n), F.slice(kept, 2, n), lambda begin, end: (end - begin).cast("int"))
+    return F.flatten(F.transform(spans, lambda span, i: F.array_repeat(i, span)))
 
 
 def segment_changes(segments: Column) -> Column:
