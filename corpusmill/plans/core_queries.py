@@ -761,3 +761,96 @@ def f12_segment_changes(spark: SparkSession, folder: str) -> DataFrame:
 def d2_wanted_steps(spark: SparkSession, folder: str) -> DataFrame:
     wanted = table(spark, folder, "training_manifest").where("vocab_size = 64000").select((F.col("run_id") * 100).alias("step")).distinct()
     return checkpoints.with_step(_runs(spark, folder)).join(wanted, "step", "left_semi").select("path", "step")
+
+
+@query(f"SELECT round(avg(r_format)::DOUBLE, 6) AS mean_format, count(*) AS n FROM ({_REWARDS})")
+def e12_mean_format_reward(spark: SparkSession, folder: str) -> DataFrame:
+    return _rewarded(spark, folder).agg(F.round(F.avg("r_format"), 6).alias("mean_format"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+SELECT row_id, md5(CASE WHEN {_OPEN} > 0 AND {_CLOSE} > 0 THEN {_strip(f"substring(substring(s, {_OPEN} + 7), 1, {_CLOSE} - 1)")} END) AS thought_md5,
+ md5(CASE WHEN {_OPEN} > 0 AND {_CLOSE} > 0 THEN {_strip(f"substring(substring(s, {_OPEN} + 7), {_CLOSE} + 8)")} END) AS answer_md5
+FROM (SELECT row_id, generated_solution AS s FROM open_math_reasoning)""")
+def i9_thought_and_answer(spark: SparkSession, folder: str) -> DataFrame:
+    thought, answer = tx.thought_and_answer(F.col("generated_solution"))
+    return table(spark, folder, "open_math_reasoning").select("row_id", F.md5(thought).alias("thought_md5"), F.md5(answer).alias("answer_md5"))
+
+
+@query("""
+SELECT row_id, array_to_string(list_transform(coalesce(messages, []), lambda m: CASE m.role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(m.role, '') END), ',') AS roles
+FROM nemotron_post_training""")
+def i18_roles(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "nemotron_post_training")
+    roles = F.transform(chat.common_roles(chat.to_messages(df)), lambda m: m["role"])
+    return df.select("row_id", F.array_join(roles, ",").alias("roles"))
+
+
+@query(f"""
+SELECT row_id, batch, n, max(n) OVER (PARTITION BY batch) - n AS padding FROM (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 4 AS batch,
+ CASE WHEN len(ms) = 0 THEN 1 ELSE least(2048, list_sum(list_transform(ms, lambda m: length(m.role) + length(m.content) + 4))) END::BIGINT AS n FROM ({_CHAT}))""")
+def i23_padded_chats(spark: SparkSession, folder: str) -> DataFrame:
+    ids, labels = chat.chat_ids(F.col("messages"), 2048)
+    made = _chats(spark, folder).select("row_id", ids.alias("ids"), labels.alias("labels"), F.lit(1).alias("one"))
+    numbered = running_total(made, "one", ["row_id"], out="nth").withColumn("batch", F.floor((F.col("nth") - 1) / 4).cast("long"))
+    padded = packing.pad_batches(numbered, "batch", "labels", chat.IGNORED, "padded")
+    return padded.select("row_id", "batch", F.col("n").cast("long"), (F.size("padded") - F.col("n")).cast("long").alias("padding"))
+
+
+@query("SELECT domain, weight / sum(weight) OVER () AS share FROM (VALUES ('logic', 2.0::DOUBLE), ('code', 3.0::DOUBLE), ('tools', 1.0::DOUBLE), ('web', 3.5::DOUBLE), ('other', 0.5::DOUBLE)) t(domain, weight)")
+def e20_normalised_weights(spark: SparkSession, folder: str) -> DataFrame:
+    shares = sampling.normalise_weights({"logic": 2.0, "code": 3.0, "tools": 1.0, "web": 3.5, "other": 0.5})
+    return spark.createDataFrame(list(shares.items()), "domain string, share double")
+
+
+@query("""
+SELECT stream, block, array_to_string(list_distinct(list_append(list_filter(list_transform(string_split(cu, ','), lambda c: c::BIGINT), lambda c: c <= 300), 300)).list_sort(), ',') AS kept FROM ("""
+ + _PACKED + ")")
+def c21_bounds_of_shorter_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    kept = F.array_sort(F.array_distinct(F.array_append(F.filter("cu", lambda c: c <= 300), F.lit(300))))
+    return _packed(spark, folder).select("stream", "block", F.array_join(kept.cast("array<string>"), ",").alias("kept"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 400) WHERE text <> '') AS capped_rows, (SELECT count(*) FROM (SELECT text FROM documents WHERE text <> '' ORDER BY doc_id LIMIT 400)) AS capped_texts")
+def g8_row_caps(spark: SparkSession, folder: str) -> DataFrame:
+    """A cap on rows read against one on texts kept: the two places where a cap can stand."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    before = sampling.head(docs, 400, ["doc_id"]).where("text <> ''").agg(F.count(F.lit(1)).alias("capped_rows"))
+    after = sampling.head(docs.where("text <> ''"), 400, ["doc_id"]).agg(F.count(F.lit(1)).alias("capped_texts"))
+    return before.join(after)  # a row each
+
+
+@query("SELECT run_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created FROM training_manifest")
+def i39_iso_timestamps(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "training_manifest").select("run_id", F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("created"))
+
+
+@query("SELECT row_id, len(json_extract(tools, '$[*].name')) AS n_tools, json_extract_string(tools, '$[0].name') AS first_tool FROM apigen_fc WHERE json_valid(tools)")
+def i40_parsed_tools(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = F.from_json("tools", "array<struct<name string>>")
+    df = table(spark, folder, "apigen_fc").select("row_id", parsed.alias("t")).where("t is not null")
+    return df.select("row_id", F.size("t").cast("long").alias("n_tools"), F.get("t", F.lit(0))["name"].alias("first_tool"))
+
+
+@query(f"""
+SELECT ordinal, row_id, epoch FROM (SELECT r.row_id, e.epoch, r.nth + e.epoch * n AS ordinal FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS nth, count(*) OVER () AS n
+ FROM open_math_reasoning WHERE {_RATE} BETWEEN 0.1 AND 0.9) r, (VALUES (0), (1)) e(epoch))""")
+def f11_rounds_of_a_restarted_source(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = running_total(c12_difficulty_band(spark, folder).withColumn("one", F.lit(1)), "one", ["row_id"], out="nth")
+    total = ranked.agg(F.count(F.lit(1)).alias("n"))
+    twice = sampling.repeat_epochs(ranked, 2).join(F.broadcast(total))  # one row
+    return twice.select((F.col("nth") - 1 + F.col("epoch") * F.col("n")).cast("long").alias("ordinal"), "row_id", "epoch")
+
+
+@query("SELECT language, count(*) AS n, round(exp(least(avg(language_score) * 30, 20)), 4) AS perplexity FROM (SELECT coalesce(lang, 'und') AS language, language_score FROM fineweb) GROUP BY language")
+def i32_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Thirty times the mean language score stands in for a loss."""
+    by = table(spark, folder, "fineweb").groupBy(F.coalesce("lang", F.lit("und")).alias("language"))
+    return by.agg(F.count(F.lit(1)).alias("n"), F.round(metrics.perplexity(F.avg("language_score") * 30), 4).alias("perplexity"))
+
+
+@query("SELECT user_id, max(ts) AS latest, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS n FROM events GROUP BY user_id")
+def e19_latest_by_time(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").groupBy("user_id").agg(
+        F.max("ts").alias("latest"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count(F.lit(1)).alias("n")
+    )
