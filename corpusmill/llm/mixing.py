@@ -23,26 +23,31 @@ LEAST_QUALITY = 0.05
 
 
 def entries(config: DataFrame) -> DataFrame:
-    """One row per phase and name: folder, weight, max_repeat. Spellings of phase, name and folder are made alike.
+    """One row per phase, name and folder: weight, max_repeat. Spellings of phase, name and folder are made alike.
 
-    Entries repeated for a phase and name count once, the first by entry_id; null or negative weights are 0, null or
-    negative repeats 0; entries without phase, name or path are left out.
+    An entry repeated for a phase, name and folder counts once, the first by entry_id; null or negative weights are 0,
+    null or negative repeats 0; entries without phase, name or path are left out.
     """
     clean = config.where("phase is not null and name is not null and path is not null").select(
         F.trim("phase").alias("phase"), F.lower(F.trim("name")).alias("name"), common_path(F.trim("path")).alias("folder"), "entry_id",
         F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"), F.greatest(F.coalesce("max_repeat", F.lit(0)), F.lit(0)).cast("int").alias("max_repeat"),
     )
-    first = F.row_number().over(Window.partitionBy("phase", "name").orderBy("entry_id", "folder"))
+    first = F.row_number().over(Window.partitionBy("phase", "name", "folder").orderBy("entry_id"))
     return clean.withColumn("nth", first).where("nth = 1").drop("nth", "entry_id")
 
 
+def names(folders: DataFrame) -> DataFrame:
+    """One row per phase and name: the weights of its folders together, the least of their repeats."""
+    return folders.groupBy("phase", "name").agg(F.sum("weight").alias("weight"), F.min("max_repeat").alias("max_repeat"))
+
+
 def quality(text: Column) -> Column:
     """Share of letters in the whole text, not below LEAST_QUALITY: tables, logs and noise are drawn less often."""
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     return F.greatest(F.coalesce(letters / F.nullif(F.length(text), F.lit(0)), F.lit(0.0)), F.lit(LEAST_QUALITY))
 
 
-def place_records(records: DataFrame, targets: DataFrame) -> DataFrame:
+def place_records(records: DataFrame, folders: DataFrame) -> DataFrame:
     """Records (id, size, quality, folder) under every phase whose entry's folder is above them; the deepest folder of a phase wins.
 
     Records without size or path are left out: they add nothing to any total.
@@ -50,10 +55,10 @@ def place_records(records: DataFrame, targets: DataFrame) -> DataFrame:
     parts = F.split("folder", "/")  # an empty part at either end
     upward = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 2, n), "/"), F.lit("/")))
     sized = records.where("size > 0 and folder is not null and folder <> '//'").select("id", "size", "quality", F.explode(upward).alias("folder"))
-    # The entries are configuration: a row for each phase and name.
-    joined = sized.join(F.broadcast(targets), "folder")
+    # The entries are configuration: a row for each phase, name and folder.
+    joined = sized.join(F.broadcast(folders), "folder")
     claims = Window.partitionBy("phase", "id").orderBy(F.length("folder").desc(), "name")
-    nested = targets.alias("a").join(targets.alias("b"), F.expr("a.phase = b.phase and a.name <> b.name and startswith(a.folder, b.folder)")).limit(1).count()
+    nested = folders.alias("a").join(folders.alias("b"), F.expr("a.phase = b.phase and (a.name <> b.name or a.folder <> b.folder) and startswith(a.folder, b.folder)")).limit(1).count()
     if nested:
         joined = joined.withColumn("nth", F.row_number().over(claims)).where("nth = 1").drop("nth")
     return joined.select("phase", "name", "id", "size", "quality")
@@ -82,8 +87,9 @@ def mix(records: DataFrame, config: DataFrame, total: int | None = None, seed: i
     share by half a record at most. Ties of keys are broken by id; rows repeated under one id are drawn each on their
     own. Empty tables give an empty selection.
     """
-    targets = entries(config)
-    placed = place_records(records, targets)
+    folders = entries(config)
+    targets = names(folders)
+    placed = place_records(records, folders)
     unit = (F.xxhash64(F.lit(seed), "phase", "name", "id").bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(0.5)) / F.lit(float(1 << 53))
     # 1 - exp(-key) of the exponential key -ln(u) / quality: the same order, in (0, 1).
     placed = placed.withColumn("key", 1 - F.pow(unit, 1 / F.col("quality"))).withColumn("bucket", F.least(F.floor(F.col("key") * buckets), F.lit(buckets - 1)).cast("int"))

@@ -58,6 +58,13 @@ def test_deeper_folder_wins(spark):
     assert {(r["name"], r["id"]) for r in selection.collect()} == {("all", 1), ("deep", 2)}
 
 
+def test_a_name_with_two_folders(spark):
+    records = spark.createDataFrame([(i, 10, 1.0, f"/r/{'abc'[i % 3]}/", "n") for i in range(300)], RECORDS)
+    selection, targets = mixing.mix(records, config(spark, ("P", "ab", "r/a", 1.0, 2), ("P", "AB", "r/b", 1.0, 1), ("P", "c", "r/c", 2.0, 1)))
+    out = {r["name"]: r for r in mixing.shares(selection, targets).collect()}
+    assert out["ab"]["n_records"] == 200 and out["ab"]["target_share"] == 0.5 and out["ab"]["actual_share"] == pytest.approx(0.5, abs=0.01) and out["ab"]["most_uses"] == 1
+
+
 def test_odd_rows_and_empty_tables(spark):
     records = spark.createDataFrame([(1, 0, 1.0, "/r/a/", "n"), (2, 5, 0.05, None, "n"), (3, 5, 0.05, "/r/a/", None), (3, 5, 0.05, "/r/a/", None), (4, 5, 0.5, "//", "n")], RECORDS)
     plan = config(spark, ("P", "a", "r/a", 1.0, 1), ("P", "b", None, 1.0, 1), ("P", "c", "r/c", None, None))
