@@ -57,9 +57,10 @@ RESULT_WORDS = r"(?:answer|result|solution|reponse|resultat|solution|antwort|erg
 
 THINK = re.compile(r"</?think(?:ing)?\s*>", re.I)
 FENCE = re.compile(r"```[A-Za-z]*")
-QUOTED = regex.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」")
-FORMULA = re.compile(r"\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\[A-Za-z]+(?:\{[^{}]*\})*", re.S)
-BOXED = re.compile(r"\\boxed\s*\{(?:[^{}]|\{[^{}]*\})+\}")
+#: Quotations, formulas and boxes are looked for this far, so that texts full of opening signs cost no more than others.
+QUOTED = regex.compile(r"\"[^\"]{0,2000}\"|“[^”“]{0,2000}”|„[^“”„]{0,2000}[“”]|«[^»«]{0,2000}»|「[^」「]{0,2000}」")
+FORMULA = re.compile(r"\$[^$]{0,2000}\$|\\\([^\\]{0,500}(?:\\[^()][^\\]{0,200}){0,40}\\\)|\\\[[^\\]{0,500}(?:\\[^\[\]][^\\]{0,200}){0,40}\\\]|\\[A-Za-z]+(?:\{[^{}]{0,500}\})*", re.S)
+BOXED = re.compile(r"\\boxed\s{0,9}\{(?:[^{}\n]|\{[^{}\n]{0,200}\}){1,200}\}")
 LABELLED = re.compile(RESULT_WORDS + r"\W{0,6}[:：]\W{0,6}[\d\\]")
 STATED = re.compile(RESULT_WORDS + r"[^.!?。\n]{0,60}?[-−]?\$?\d[^\s。]*[.!。?](?:\s|$|[)*\"”])|" + RESULT_WORDS + r"[^.!?\n]{0,20}\d+\s*。")
 SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in ("Latin", "Cyrillic", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Greek", "Hebrew", "Devanagari", "Thai")}

@@ -16,6 +16,8 @@ WORD = re.compile(r"[^\W_]+")
 MARKS = regex.compile(r"\p{M}+")
 #: Words kept in a worker's table of hashes before it is emptied; it only saves time.
 MEMO_WORDS = 400_000
+#: Longer words are hashed anew each time, so that the table stays small.
+LONGEST_KEPT = 64
 
 
 def fold(text: str) -> str:
@@ -34,9 +36,11 @@ class WordHashes(dict):
     """word -> 64-bit hash, filled as words turn up."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -55,3 +55,13 @@ def test_every_triggered_defect_comes_out(spark):
     out = pairs.pair_defects(df).collect()
     assert sorted((r["defect"], r["priority"]) for r in out) == [("empty", 1), ("other_language", 2), ("refusal", 1)]
     assert pairs.pair_defects(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sign", ["“", "„", "«", "\\boxed{", "\\(", "\\[", "$", "{", '"', "<think>", "can not be ", "answer ", "answer 1", "ich darf nicht ", "a\n"])
+def test_texts_full_of_one_sign_take_no_longer(sign):
+    import time
+
+    began = time.time()
+    pairs.solution_defects(Q, sign * (200_000 // len(sign)) + "x")
+    pairs.call_defects(ASK, sign * (200_000 // len(sign)) + "x")
+    assert time.time() - began < 8
