@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from corpusmill.session import materialise
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Texts that are hashed at a time, which bounds a worker's memory whatever the Arrow batch holds.
 TEXTS_AT_A_TIME = SHINGLE_TEXTS
+CHARACTERS_AT_A_TIME = 8_000_000
 #: Entries (band key and fingerprint) that one task gets to sort.
 ENTRIES_PER_TASK = 600_000
 #: Distinct texts in one bucket that are paired with each other; the texts of a larger one are searched by rare elements.
@@ -122,12 +124,14 @@ def _slices(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[tupl
     memo = WordHashes()
     for batch in batches:
         scopes = batch.column("scope").to_pylist()
+        length = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         edges = [0, *(i for i in range(1, len(scopes)) if scopes[i] != scopes[i - 1]), len(scopes)]
         for lo, hi in zip(edges, edges[1:]):
-            for at in range(lo, hi, TEXTS_AT_A_TIME):
-                part = batch.slice(at, min(TEXTS_AT_A_TIME, hi - at))
-                if not len(part):
-                    continue
+            at = lo
+            while at < hi:
+                upto = np.cumsum(length[at : min(at + TEXTS_AT_A_TIME, hi)])
+                part = batch.slice(at, max(1, int(np.searchsorted(upto, CHARACTERS_AT_A_TIME, "right"))))
+                at += len(part)
                 doc, element = shingle_sets(part.column("text").to_pylist(), how.words, how.least_words, memo)
                 yield scopes[lo] or "", part.column("id").to_numpy(zero_copy_only=False), scope_hash(scopes[lo]), doc, element
 
