@@ -1,15 +1,15 @@
-"""Problem 4: near-duplicate records by weighted dart signatures.
+"""Problem 4: near-duplicate records by dart signatures.
 
 Every text is the set of its runs of successive words. Darts are thrown at each element as a hashed Poisson process:
 the k-th dart of an element arrives at a rank that depends on the element alone, hits one coordinate, and has a height
 below which the element's weight must not lie. A signature keeps, for each coordinate, the earliest dart that hits, so
 two texts agree in a coordinate with the probability of their weighted Jaccard similarity, at a cost of about
 k log k darts a text instead of k hashes an element. Signatures are cut into bands; texts that share a band are
-candidates, and candidates are compared exactly.
+candidates, and candidates are compared exactly. All elements weigh 1, as the similarity that decides counts them alike.
 
-Elements that stand in at least ``stop_share`` of all texts get the weight ``stop_weight``: boilerplate then makes few
-candidates, while texts that consist of nothing else are still found, as weights count only in proportion. Weights
-steer which candidates are drawn; whether a pair counts is decided by the unweighted similarity.
+Elements that stand in at least half of ``stop_share`` of all texts are common. Texts that meet in a band of nothing but
+common elements share boilerplate, and maybe no more: to such bands texts bring their sets, and within the bucket the
+near ones are found by rare elements and compared at once, so that the others never become candidates.
 
 Identical sets share a fingerprint and are one class throughout; copies never meet in a bucket.
 """
@@ -38,13 +38,19 @@ CHARACTERS_AT_A_TIME = 8_000_000
 ENTRIES_PER_TASK = 600_000
 #: Distinct texts in one bucket that are paired with each other; the texts of a larger one are searched by rare elements.
 LARGEST_BUCKET = 2_000
+#: Of texts that meet in a band of common elements, up to which they are compared where they meet.
+LARGEST_COMMON_BUCKET = 10_000
+#: Elements of such sets that are searched at a time, unless one bucket has more.
+ELEMENTS_AT_A_TIME = 2_000_000
+#: Marks an element as common, beside its 53 bits.
+COMMON = np.uint64(1 << 63)
 #: Candidate pairs emitted in one Arrow batch.
 PAIRS_AT_A_TIME = 200_000
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """What counts as near. ``bands`` x ``rows`` coordinates find a pair of weighted similarity s with 1 - (1 - s^rows)^bands."""
+    """What counts as near. ``bands`` x ``rows`` coordinates find a pair of similarity s with 1 - (1 - s^rows)^bands."""
 
     words: int = 5
     least_words: int = 5
@@ -52,7 +58,6 @@ class Similarity:
     bands: int = 16
     rows: int = 5
     stop_share: float = 0.01
-    stop_weight: float = 0.1
 
     @property
     def coordinates(self) -> int:
@@ -69,7 +74,7 @@ HALF_OF_THREE_WORDS = Similarity(words=3, least_words=20, threshold=0.5, bands=4
 def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
     """(n_docs, k) winners: for each coordinate the identity of the earliest dart. Weights lie in (0, 1]; ``doc`` is sorted.
 
-    Documents without elements get zeros.
+    The lowest bit is that of the element's mark COMMON. Documents without elements get zeros.
     """
     out = np.zeros((n_docs, k), np.uint64)
     todo = np.flatnonzero(np.bincount(doc, minlength=n_docs))
@@ -98,7 +103,9 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
             with np.errstate(over="ignore"):
                 y = x[hit] * GOLDEN
             rank = (limit[where] - left[hit]).view(np.uint32).astype(np.uint64)
-            np.minimum.at(best, where * k + ((y >> np.uint64(32)) % np.uint64(k)).astype(np.int64), rank << np.uint64(32) | y >> np.uint64(32))
+            name = y >> np.uint64(32)
+            marked = name & np.uint64(0xFFFFFFFE) | el[hit] >> np.uint64(63)
+            np.minimum.at(best, where * k + (name % np.uint64(k)).astype(np.int64), rank << np.uint64(32) | marked)
         best = best.reshape(len(todo), k)
         done = (best != np.iinfo(np.uint64).max).all(axis=1)
         out[todo[done]] = best[done]
@@ -158,16 +165,28 @@ def _census(how: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _weights(element: np.ndarray, stop: np.ndarray, how: Similarity) -> np.ndarray:
-    weight = np.ones(len(element))
-    if len(stop):
-        at = np.minimum(np.searchsorted(stop, element), len(stop) - 1)
-        weight[stop[at] == element] = how.stop_weight
-    return weight
+def _is_common(element: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which elements are among ``common``, which is sorted."""
+    if not len(common):
+        return np.zeros(len(element), bool)
+    return common[np.minimum(np.searchsorted(common, element), len(common) - 1)] == element
+
+
+def _firsts(doc: np.ndarray, element: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, element, rank, elements from this one on) of each set's first elements by rank: sets of similarity ``threshold`` share one of them."""
+    order = np.lexsort((element, rank, doc))
+    doc, element, rank = doc[order], element[order], rank[order]
+    _, start, size = np.unique(doc, return_index=True, return_counts=True)
+    left = np.repeat(start + size, size) - np.arange(len(doc))
+    first = left >= np.repeat(np.ceil(threshold * size - 1e-9).astype(np.int64), size)
+    return doc[first], element[first], rank[first], left[first]
 
 
 def _bands(how: Similarity, tasks: int, stops) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Band keys of the distinct texts, packed for each task: counts per text, keys (48 bits), fingerprints."""
+    """Band keys of the distinct texts, packed for each task: counts per text, fingerprints, keys; with sets where a band's winners are all common.
+
+    Of a key 32 bits are left beside its task; the few texts that meet by chance are compared in vain.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, seen = np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -182,62 +201,156 @@ def _bands(how: Similarity, tasks: int, stops) -> Callable[[Iterator[pa.RecordBa
             seen = np.union1d(seen, fresh)
             mine = np.isin(doc, chosen)
             doc, element = doc[mine], element[mine]
-            signature = dart_signatures(doc, element, _weights(element, stops.value.get(scope, none), how), len(ids), how.coordinates)[chosen]
+            common = _is_common(element, stops.value.get(scope, none))
+            marked = element | np.where(common, COMMON, np.uint64(0))
+            signature = dart_signatures(doc, marked, np.ones(len(element)), len(ids), how.coordinates)[chosen]
             cut = (signature & np.uint64(0xFFFFFFFF)).reshape(len(chosen), how.bands, how.rows)
             with np.errstate(over="ignore"):
                 key = np.arange(how.bands, dtype=np.uint64)[None, :] * GOLDEN + np.uint64(seed)
                 for r in range(how.rows):
                     key = mix64(key * GOLDEN + cut[:, :, r])
-            key = key.ravel()
-            owner = np.repeat(np.arange(len(chosen)), how.bands)
-            task = ((key >> np.uint64(48)) * np.uint64(tasks) >> np.uint64(16)).astype(np.int64)
-            order = np.lexsort((owner, task))
-            key, owner, task = key[order] & np.uint64(0xFFFFFFFFFFFF), owner[order], task[order]
-            start = np.searchsorted(task, np.arange(tasks + 1))
+            boilerplate = (cut & np.uint64(1)).all(axis=2)
+            owner, band = np.nonzero(~boilerplate)
+            key, whole = key[owner, band], key[boilerplate]
+            task, whole_task = (((k >> np.uint64(48)) * np.uint64(tasks) >> np.uint64(16)).astype(np.int64) for k in (key, whole))
+            order, whole_order = np.lexsort((owner, task)), np.argsort(whole_task, kind="stable")
+            key, owner, task = key[order].astype(np.uint32), owner[order], task[order]
+            whole, whole_owner = whole[whole_order].astype(np.uint32), np.nonzero(boilerplate)[0][whole_order]
+            start, whole_start = np.searchsorted(task, np.arange(tasks + 1)), np.searchsorted(whole_task[whole_order], np.arange(tasks + 1))
+            small_doc, small = distinct_pairs(doc, element >> np.uint64(21))
+            small = small.astype(np.uint32)
+            begin, end = np.searchsorted(small_doc, chosen), np.searchsorted(small_doc, chosen, "right")
             out_task, blobs = [], []
             for t in range(tasks):
                 lo, hi = start[t], start[t + 1]
-                if lo == hi:
+                bring = whole_owner[whole_start[t] : whole_start[t + 1]]
+                if lo == hi and not len(bring):
                     continue
                 who, count = np.unique(owner[lo:hi], return_counts=True)
-                k = key[lo:hi]
                 out_task.append(t)
                 blobs.append(b"".join([
-                    np.array([len(who)], np.uint32).tobytes(), count.astype(np.uint16).tobytes(), fresh[who].tobytes(),
-                    (k & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint16).tobytes(),
+                    np.array([len(who), hi - lo, len(bring)], np.uint32).tobytes(), count.astype(np.uint16).tobytes(), fresh[who].tobytes(), key[lo:hi].tobytes(),
+                    whole[whole_start[t] : whole_start[t + 1]].tobytes(), fresh[bring].tobytes(), (end - begin)[bring].astype(np.uint32).tobytes(), *(small[begin[i] : end[i]].tobytes() for i in bring),
                 ]))
             yield pa.RecordBatch.from_arrays([pa.array(out_task, pa.int32()), pa.array(blobs, pa.binary())], ["task", "blob"])
 
     return run
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    count = np.frombuffer(blob, np.uint16, n, 4).astype(np.int64)
-    who = np.frombuffer(blob, np.uint64, n, 4 + 2 * n)
-    m = int(count.sum())
-    low = np.frombuffer(blob, np.uint32, m, 4 + 10 * n).astype(np.uint64)
-    high = np.frombuffer(blob, np.uint16, m, 4 + 10 * n + 4 * m).astype(np.uint64)
-    return high << np.uint64(32) | low, np.repeat(who, count)
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Keys and fingerprints; and keys, fingerprints, sizes and elements of the sets that came along."""
+    n, m, sets = map(int, np.frombuffer(blob, np.uint32, 3))
+    out, at = [], 12
+    for kind, size in ((np.uint16, n), (np.uint64, n), (np.uint32, m), (np.uint32, sets), (np.uint64, sets), (np.uint32, sets)):
+        out.append(np.frombuffer(blob, kind, size, at))
+        at += out[-1].nbytes
+    count, who, key, *brought, size = out
+    return key, np.repeat(who, count), *brought, size, np.frombuffer(blob, np.uint32, offset=at)
+
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-def _candidates(largest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of fingerprints that share a key, of the blobs of one task; of buckets beyond ``largest`` the members, without partner."""
+
+def _common_entries(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of elements that the sets of each pair share."""
+    n, m = size[a], size[b]
+    pair = np.repeat(np.r_[: len(a), : len(b)].astype(np.uint64), np.r_[n, m])
+    both = np.sort(pair << np.uint64(32) | flat[_ranges(np.r_[start[a], start[b]], np.r_[n, m])], kind="stable")
+    return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(a))
+
+
+def _near_in_buckets(bucket: np.ndarray, size: np.ndarray, flat: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of one bucket with the similarity, by row; exact, a pair perhaps more than once.
+
+    Each set's elements are ordered by their frequency in the bucket. Near sets share one of their first elements, and
+    after the first that they share enough must be left in both.
+    """
+    start = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    code = bucket[row].astype(np.uint64) << np.uint64(32) | flat
+    _, place, often = np.unique(code, return_inverse=True, return_counts=True)
+    row, code, often, left = _firsts(row, code, often[place], threshold)
+    code, row, left = code[often > 1], row[often > 1], left[often > 1]
+    order = np.lexsort((size[row], code))
+    code, row, left = code[order], row[order], left[order]
+    edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
+    begin, n_in = edge[:-1], np.diff(edge)
+    first, second, held = [], [], 0
+
+    def near() -> tuple[np.ndarray, np.ndarray]:
+        a, b = distinct_pairs(np.concatenate(first), np.concatenate(second))
+        kept = []
+        for lo in range(0, len(a), 5_000):
+            x, y = a[lo : lo + 5_000], b[lo : lo + 5_000]
+            shared = _common_entries(flat, start, size, x, y)
+            kept.append(shared >= threshold * (size[x] + size[y] - shared) - 1e-9)
+        kept = np.concatenate(kept)
+        return a[kept], b[kept]
+
+    for n in np.unique(n_in[n_in > 1]):
+        at = begin[n_in == n]
+        for shift in range(1, n):
+            step = max(1, PAIRS_AT_A_TIME // int(n - shift))
+            for lo in range(0, len(at), step):
+                i = (at[lo : lo + step, None] + np.arange(n - shift)[None, :]).ravel()
+                a, b = row[i], row[i + shift]
+                could = np.minimum(left[i], left[i + shift]) * (1 + threshold) >= threshold * (size[a] + size[b]) - 1e-6
+                first.append(np.minimum(a, b)[could])
+                second.append(np.maximum(a, b)[could])
+                held += len(first[-1])
+                if held >= PAIRS_AT_A_TIME:
+                    yield near()
+                    first, second, held = [], [], 0
+    if held:
+        yield near()
+
+
+def _candidates(largest: int, largest_common: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of fingerprints that share a key, of the blobs of one task, where they brought sets those that are near; of larger buckets the members, without partner."""
+
+    def alone(who: np.ndarray) -> pa.RecordBatch:
+        who = np.unique(who).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64())], ["a", "b"])
+
+    def of_sets(key: np.ndarray, who: np.ndarray, size: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.cumsum(size) - size
+        order = np.lexsort((who, key))
+        key, who, start, size = key[order], who[order], start[order], size[order]
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])
+        key, who, start, size = key[once], who[once], start[once], size[once]
+        _, bucket, n_in = np.unique(key, return_inverse=True, return_counts=True)
+        n_in = n_in[bucket]
+        if (n_in > largest_common).any():
+            yield alone(who[n_in > largest_common])
+        met = (n_in > 1) & (n_in <= largest_common)
+        bucket, who, start, size = bucket[met], who[met], start[met], size[met]
+        lo, total = 0, np.cumsum(size)
+        while lo < len(bucket):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - size[lo] + ELEMENTS_AT_A_TIME, "right")))
+            hi = int(np.searchsorted(bucket, bucket[hi - 1], "right"))  # buckets stay whole
+            for a, b in _near_in_buckets(bucket[lo:hi], size[lo:hi], flat[_ranges(start[lo:hi], size[lo:hi])], threshold):
+                x, y = who[lo:hi][a], who[lo:hi][b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [_unpack(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
         if not got:
             return
-        key, who = (np.concatenate(x) for x in zip(*got))
+        key, who, *brought = (np.concatenate(x) for x in zip(*got))
         del got
+        if len(brought[0]):
+            yield from of_sets(brought[0], brought[1], brought[2].astype(np.int64), brought[3])
+        del brought
         key, who = distinct_pairs(key, who)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         begin, size = edge[:-1], np.diff(edge)
         begin, size = begin[size > 1], size[size > 1]
         large = size > largest
         if large.any():
-            alone = np.unique(np.concatenate([who[b : b + n] for b, n in zip(begin[large], size[large])])).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64())], ["a", "b"])
+            yield alone(np.concatenate([who[b : b + n] for b, n in zip(begin[large], size[large])]))
             begin, size = begin[~large], size[~large]
         first, second, held = [], [], 0
 
@@ -318,15 +431,10 @@ def _prefixes(threshold: float, stops) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_e, out_f = [], []
-            for fp, members in zip(batch.column("fp").to_pylist(), batch.column("members").to_pylist()):
-                e = np.frombuffer(members, np.uint32)
-                order = np.lexsort((e, np.isin(e, common)))
-                first = e[order[: len(e) - math.ceil(threshold * len(e) - 1e-9) + 1]]
-                out_e.append(first.astype(np.int64))
-                out_f.append(np.full(len(first), fp, np.int64))
-            if out_e:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_e)), pa.array(np.concatenate(out_f))], ["element", "fp"])
+            members = batch.column("members").to_pylist()
+            element = np.frombuffer(b"".join(members), np.uint32)
+            doc, first, _, _ = _firsts(np.repeat(np.arange(len(members)), [len(m) // 4 for m in members]), element, _is_common(element, common), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), batch.column("fp").take(pa.array(doc))], ["element", "fp"])
 
     return run
 
@@ -376,7 +484,7 @@ def near_duplicates(records: DataFrame, how: Similarity) -> NearDuplicates:
     tasks = max(1, min(60_000, math.ceil(sum(texts.values()) * how.bands / ENTRIES_PER_TASK)))
     tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = records.mapInArrow(_bands(how, tasks, stops), "task int, blob binary").repartitionById(tasks, F.col("task"))
-    pairs = materialise(packed.mapInArrow(_candidates(LARGEST_BUCKET), "a bigint, b bigint").distinct())
+    pairs = materialise(packed.mapInArrow(_candidates(LARGEST_BUCKET, LARGEST_COMMON_BUCKET, how.threshold), "a bigint, b bigint").distinct())
     sets = records.mapInArrow(_sets(how), "fp bigint, members binary").groupBy("fp").agg(F.first("members").alias("members"))
     large = pairs.where("b is null").select(F.col("a").alias("fp"))
     pairs = pairs.where("b is not null")

@@ -107,6 +107,24 @@ def test_boilerplate_alone_is_still_found(spark):
     assert out >= 0.99 * 30 * 29 / 2
 
 
+@pytest.mark.parametrize("largest", [10_000, 50])
+def test_near_copies_of_common_text_against_all_comparisons(spark, monkeypatch, largest):
+    """A third of the texts are copies of a template with 3 to 5 edits each: similarities about 0.5 to 0.7, all that is shared is common."""
+    monkeypatch.setattr(neardup, "LARGEST_COMMON_BUCKET", largest, raising=False)
+    draw = random.Random(7)
+    rows = []
+    for i in range(120):
+        w = [f"t{k}" for k in range(100)]
+        for k in draw.sample(range(0, 100, 4), 3 + i % 3):
+            w[k] = f"e{i}x{k}"
+        rows.append(("a", i, " ".join(w), ""))
+    rows += [("a", 1000 + i, " ".join([f"t{k}" for k in range(30)] + [f"r{i}x{k}" for k in range(60)]), "") for i in range(240)]
+    found = {(r["scope"], r["id_a"], r["id_b"]) for r in neardup.record_pairs(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), HOW)).collect()}
+    expected = brute(rows)
+    assert len(expected) > 4_000
+    assert found <= expected and len(expected - found) <= 0.002 * len(expected)
+
+
 def test_empty_and_long(spark):
     df = spark.createDataFrame([("a", 1, "w " * 200_000, ""), ("a", 2, "w " * 200_000, ""), ("a", 3, " ".join(map(str, range(30_000))), "")], SCHEMA)
     near = neardup.near_duplicates(df, HOW)
