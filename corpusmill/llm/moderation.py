@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from re import _parser
 from typing import NamedTuple
 
 import numpy as np
@@ -407,15 +408,57 @@ CUES: dict[str, tuple[str, ...]] = {
 }
 CUE_WEIGHT, NEUTRAL_WEIGHT = 3.0, 5.0
 #: Words of the cues that are too common to tell anything; every alternative of a cue has another one.
-FUNCTION_WORDS = set("the of to in a an and you your if will be no with who this on all they were was not i have when until is are in at or s deep him his her us our that der die das den dir du dich te ne les la le las los se hat von zu zum un una ta tes et y ich unter nur fur hay que il faut aus for by from must open near where only entre read cant it there de without".split())
+FUNCTION_WORDS = set("the of to in a an and you your if will be no with who this on all they were was not i have when until is are in at or s deep him his her us our that der die das den dir du dich te ne les la le las los se hat von zu zum un una ta tes et y ich unter nur fur hay que il faut aus for by from must open near where only entre read cant it there de without off".split())
 
 
 def _start(word: str) -> str:
     return word[:4]
 
 
+class Spelled(NamedTuple):
+    """Letters that a part of a pattern matches: without a break, before its first, after its last, and between breaks."""
+
+    through: frozenset[str]
+    head: frozenset[str]
+    tail: frozenset[str]
+    within: frozenset[str]
+
+
+_NOTHING = frozenset()
+_BREAK = Spelled(_NOTHING, frozenset({""}), frozenset({""}), _NOTHING)
+
+
+def _spelled(pattern: Iterable) -> Spelled:
+    """All forms of a parsed pattern's words, also those of an optional letter; what is not a given letter breaks a word."""
+    out = Spelled(frozenset({""}), _NOTHING, _NOTHING, _NOTHING)
+    for kind, value in pattern:
+        if kind is _parser.LITERAL and chr(value) in LETTERS:
+            one = Spelled(frozenset({chr(value)}), _NOTHING, _NOTHING, _NOTHING)
+        elif kind is _parser.SUBPATTERN:
+            one = _spelled(value[-1])
+        elif kind is _parser.BRANCH or kind is _parser.IN:
+            one = Spelled(*map(frozenset().union, *(_spelled(x if kind is _parser.BRANCH else [x]) for x in (value[1] if kind is _parser.BRANCH else value))))
+        elif kind is _parser.MAX_REPEAT:
+            least, most, inner = value
+            one = _spelled(inner)
+            once = one.through | ({""} if not least else _NOTHING)
+            twice = {a + b for a in one.through for b in one.through} if most > 1 else _NOTHING
+            one = one._replace(through=once | twice, within=one.within | ({a + b for a in one.tail for b in one.head} if most > 1 else _NOTHING))
+        else:
+            one = _BREAK
+        out = Spelled(
+            frozenset(a + b for a in out.through for b in one.through),
+            out.head | {a + b for a in out.through for b in one.head},
+            one.tail | {a + b for a in out.tail for b in one.through},
+            out.within | one.within | {a + b for a in out.tail for b in one.head},
+        )
+    return out
+
+
 def _literals(pattern: str) -> set[str]:
-    return set(re.findall(r"[a-z]+", re.sub(r"\\[a-z]", " ", pattern)))
+    """Words that a pattern can match, and the pieces of which they are put together there."""
+    pieces = re.findall(r"[a-z]+", re.sub(r"\\[a-z]", " ", pattern))
+    return set().union(pieces, *_spelled(_parser.parse(pattern))) - {""}
 
 
 def _weight(c: str) -> float:

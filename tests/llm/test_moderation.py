@@ -33,6 +33,20 @@ def test_restoring(judge, spelled, meant):
     assert [w for s in judge.restorer.sentences(spelled) for w in s] == meant
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        *((f"i will break your {w}", "abusive") for w in ("arm", "leg", "bone", "finger", "knee", "knees")), ("aucun zorgu ne merite de vivre", "hateful"), ("kein zorgu hat das recht unter uns zu leben", "hateful"),
+        ("he kissed her breast", "sexual"), ("video erotique", "sexual"), ("video porno", "sexual"), ("nacktbilder", "sexual"), ("the pigs ran", "clean"), ("better off if not a single zorgu were here", "hateful"),
+    ],
+)
+def test_cues_match_in_every_form_that_they_allow(judge, text, label):
+    """As sentences reach them: words that the cues do not know are marked before."""
+    (sentence,) = judge.restorer.sentences(text)
+    assert any(map(judge.alert.__getitem__, sentence)) or label == "clean"
+    assert m.cue_scores(judge._marks(sentence))[m.CLASSES.index(label)] > 0
+
+
 def test_viterbi_against_all_readings():
     """On a small lattice: every choice of letters, drops and swaps tried."""
     model = m.CharacterModel(m.count_trigrams(["abba cab bac", "cabbage a bag"]))
