@@ -26,6 +26,8 @@ from corpusmill.llm.tokens import clean_source
 
 #: Labelled sentences that the model is fitted on at most; the first by id, should there be more.
 MOST_SAMPLES = 50_000
+#: Listed terms that a worker is given; a longer list is refused, not cut.
+MOST_TERMS = 1_000_000
 #: A document counts where its worst sentence scores at least this.
 THRESHOLD = 0.4
 #: Words of a longer sentence that are scored at a time, besides the whole; unmarked sentence ends would hide a passage else.
@@ -598,12 +600,14 @@ def moderate(documents: DataFrame, samples: DataFrame, terms: DataFrame) -> Data
 
     Null, blank and wordless texts score 0 as ``clean``; repeated rows are scored alike; texts of any length are read
     whole; a null source becomes ``unknown``; terms without text or category and samples without text or with an
-    unknown label are left out. The model is fitted on at most MOST_SAMPLES labelled sentences; the character model
+    unknown label are left out; a list of more than MOST_TERMS terms is refused. The model is fitted on at most MOST_SAMPLES labelled sentences; the character model
     counts all documents.
     """
     spark = documents.sparkSession
     labelled = samples.where("text is not null and label is not null").orderBy("sample_id", "text").limit(MOST_SAMPLES).select("text", "label").collect()
-    listed = terms.select("term", "category", "severity").distinct().orderBy("term", "category", "severity").limit(MOST_SAMPLES).collect()
+    listed = terms.select("term", "category", "severity").distinct().orderBy("term", "category", "severity").limit(MOST_TERMS + 1).collect()
+    if len(listed) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms are listed")
     moderator = Moderator(corpus_trigrams(documents), [(r[0], r[1].strip().lower()) for r in labelled], [tuple(r) for r in listed])
     shared = spark.sparkContext.broadcast(moderator)
 

@@ -122,6 +122,20 @@ def test_scores_of_odd_rows(spark):
     assert m.moderate(docs, samples.limit(0), terms.limit(0)).count() == 6
 
 
+def test_terms_are_not_cut_with_the_samples(spark, monkeypatch):
+    given, real = [], m.Moderator.__init__
+    monkeypatch.setattr(m, "MOST_SAMPLES", 3)
+    monkeypatch.setattr(m.Moderator, "__init__", lambda self, trigrams, samples, terms: given.append((samples, terms)) or real(self, trigrams, samples, terms))
+    docs = spark.createDataFrame([(1, "x", "web")], "doc_id long, text string, source string")
+    samples = spark.createDataFrame([(i, "You are an idiot.", "abusive") for i in range(9)], "sample_id long, text string, label string")
+    terms = spark.createDataFrame([(f"term{c}", "abusive", 2) for c in "abcdefgh"], "term string, category string, severity int")
+    m.moderate(docs, samples, terms)
+    assert [len(x) for x in given[0]] == [3, 8]
+    monkeypatch.setattr(m, "MOST_TERMS", 7, raising=False)
+    with pytest.raises(ValueError):
+        m.moderate(docs, samples, terms)
+
+
 @pytest.mark.parametrize("sign", ["\"", "'", ".", "!", "*", "$", "a ", "a", "x\n", "-", "@ ", "who ", "\u0301", "é", "you rot "])
 def test_texts_full_of_one_sign_take_no_longer(judge, sign):
     import time
