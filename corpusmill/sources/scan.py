@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import SYNTHESIS_COLUMNS, canonical_text, strip, text_column
 
 SUFFIXES = (".jsonl", ".json", ".parquet")
+#: Characters of a first line that are looked at to tell JSON lines from JSON over several lines; a longer line is one of lines.
+LONGEST_HEAD = 1 << 24
 
 
 def walk_files(root: str, suffixes: tuple[str, ...] = SUFFIXES, follow_links: bool = False) -> list[str]:
@@ -93,8 +96,28 @@ def leaves(name: str, path: str, format: str, weight: float) -> list[Leaf]:
     return [Leaf(f"{name}/{os.path.basename(c)}", c, format, weight / len(children)) for c in children]
 
 
+def _in_lines(path: str) -> bool:
+    """Whether a JSON file's first line that is not blank is a value of its own."""
+    with open(path, encoding="utf-8-sig", errors="replace") as f:
+        while (line := f.readline(LONGEST_HEAD)) and not line.strip():
+            pass
+    if len(line) == LONGEST_HEAD:
+        return True
+    try:
+        json.loads(line)
+    except (ValueError, RecursionError):
+        return not line
+    return True
+
+
 def read_leaf(spark: SparkSession, leaf: Leaf) -> DataFrame:
-    """Canonical texts of a leaf: source, text."""
+    """Canonical texts of a leaf: source, text. JSON files may hold lines, or one array or object over several lines, which must be sound."""
+    if leaf.format == "json" and (whole := [p for p in walk_files(leaf.path, (".json",)) if not _in_lines(p)]):
+        lines = sorted(set(walk_files(leaf.path, (".json",))) - set(whole))
+        read = [spark.read.option("multiLine", True).option("mode", "FAILFAST").json(whole)]
+        read += [spark.read.option("mode", "DROPMALFORMED").json(lines)] if lines else []
+        texts = [df.select(F.lit(leaf.name).alias("source"), canonical_text(df).alias("text")).where("text <> ''") for df in read]
+        return texts[0].unionByName(texts[-1]) if lines else texts[0]
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{leaf.format}")
     df = {"parquet": reader.parquet, "json": reader.option("mode", "DROPMALFORMED").json, "jsonl": reader.option("mode", "DROPMALFORMED").json}[leaf.format](leaf.path)
     return df.select(F.lit(leaf.name).alias("source"), canonical_text(df).alias("text")).where("text <> ''")

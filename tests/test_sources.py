@@ -40,6 +40,20 @@ def test_leaves_share_weight(spark, tmp_path):
     assert scan.read_leaf(spark, found[0]).first()["text"] == "t"
 
 
+def test_json_leaves_in_lines_and_over_several_lines(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "array.json").write_text('[\n {"text": "a"},\n {"text": "b"}\n]')
+    (tmp_path / "object.json").write_text('\n{\n "text": "c"\n}\n')
+    (tmp_path / "sub" / "lines.json").write_text('{"text": "d"}\n{"text": "e"}\nbroken\n')
+    (tmp_path / "one.json").write_text('[{"text": "f"}, {"text": "g"}]')
+    (tmp_path / "empty.json").write_text("")
+    leaf = scan.Leaf("web", str(tmp_path), "json", 1.0)
+    assert sorted(r["text"] for r in scan.read_leaf(spark, leaf).collect()) == list("abcdefg")
+    (tmp_path / "cut.json").write_text('[\n {"text": "h"},\n {"te')
+    with pytest.raises(Exception):
+        scan.read_leaf(spark, leaf).collect()
+
+
 def test_routing_and_shards(tmp_path):
     for name in ("a.parquet", "b.jsonl", "c.json"):
         (tmp_path / name).write_text("")
