@@ -57,10 +57,10 @@ RESULT_WORDS = r"(?:answer|result|solution|reponse|resultat|solution|antwort|erg
 
 THINK = re.compile(r"</?think(?:ing)?\s*>", re.I)
 FENCE = re.compile(r"```[A-Za-z]*")
-#: Quotations, formulas and boxes are looked for this far, so that texts full of opening signs cost no more than others.
-QUOTED = regex.compile(r"\"[^\"]{0,2000}\"|“[^”“]{0,2000}”|„[^“”„]{0,2000}[“”]|«[^»«]{0,2000}»|「[^」「]{0,2000}」")
-FORMULA = re.compile(r"\$[^$]{0,2000}\$|\\\([^\\]{0,500}(?:\\[^()][^\\]{0,200}){0,40}\\\)|\\\[[^\\]{0,500}(?:\\[^\[\]][^\\]{0,200}){0,40}\\\]|\\[A-Za-z]+(?:\{[^{}]{0,500}\})*", re.S)
-BOXED = re.compile(r"\\boxed\s{0,9}\{(?:[^{}\n]|\{[^{}\n]{0,200}\}){1,200}\}")
+#: Each search ends at the next sign of its own kind and gives nothing back, so that texts full of opening signs cost no more than others.
+QUOTED = regex.compile(r"\"[^\"]*+\"|“[^”“]*+”|„[^“”„]*+[“”]|«[^»«]*+»|「[^」「]*+」")
+FORMULA = re.compile(r"\$[^$]*+\$|\\\([^\\]*+(?:\\[^()][^\\]*+)*+\\\)|\\\[[^\\]*+(?:\\[^\[\]][^\\]*+)*+\\\]|\\[A-Za-z]++(?:\{[^{}]*+\})*+", re.S)
+BOX_OR_BRACE = re.compile(r"\\boxed\s*+\{|[{}]")
 LABELLED = re.compile(RESULT_WORDS + r"\W{0,6}[:：]\W{0,6}[\d\\]")
 STATED = re.compile(RESULT_WORDS + r"[^.!?。\n]{0,60}?[-−]?\$?\d[^\s。]*[.!。?](?:\s|$|[)*\"”])|" + RESULT_WORDS + r"[^.!?\n]{0,20}\d+\s*。")
 SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in ("Latin", "Cyrillic", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Greek", "Hebrew", "Devanagari", "Thai")}
@@ -134,12 +134,23 @@ def refuses(text: str) -> bool:
     return REFUSALS.search(_folded(fold(text))) is not None
 
 
+def boxed(text: str) -> bool:
+    """A \\boxed{} that is closed and holds something, whatever its length and the braces within."""
+    opened: list[int] = []
+    for m in BOX_OR_BRACE.finditer(text):
+        if m[0] != "}":
+            opened.append(m.end() if m[0] != "{" else -1)
+        elif opened and (begin := opened.pop()) >= 0 and begin < m.start():
+            return True
+    return False
+
+
 def closes(solution: str, question: str = "") -> bool:
     """A closing statement of the result: boxed, labelled or stated to its end; or a bare result, also after the question restated."""
     text = _plain(solution).strip()
     if question and text.startswith(question.strip()):
         text = text[len(question.strip()) :].strip()
-    if BOXED.search(text):
+    if boxed(text):
         return True
     folded = fold(text)
     if LABELLED.search(folded) or STATED.search(folded):

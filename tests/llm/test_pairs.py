@@ -23,6 +23,18 @@ def test_solutions(answer, defect):
     assert pairs.solution_defects(Q, answer)[:1] == ([defect] if defect else [])
 
 
+@pytest.mark.parametrize("box", ["\\boxed{\\frac{\\sqrt{2}}{3}}", "\\boxed{" + "1" * 300 + "}", "\\boxed{\n2423\n}", "\\boxed{" + "{" * 50 + "x" + "}" * 50 + "}"])
+def test_boxes_of_any_form_close_a_solution(box):
+    assert pairs.solution_defects(Q, f"{STEPS} So we get ${box}$") == []
+    assert pairs.solution_defects(Q, f"{STEPS} So we get ${box[:-1]}$") == ["truncated"]
+
+
+@pytest.mark.parametrize(("begin", "end"), ["“”", "«»", '""', "$$", ("\\(", "\\)"), ("\\[", "\\]")])
+def test_long_quotations_and_formulas_say_nothing_of_the_language(begin, end):
+    foreign = "el producto de los valores es la respuesta y el resultado " * 60
+    assert not pairs.other_language(Q, f"{STEPS} {begin}{foreign}{end} Therefore the answer is 2423.")
+
+
 CALL = '{"name": "loom_queue", "arguments": {"job": 33}}'
 ASK = "Where is job 33 in the loom queue?"
 
