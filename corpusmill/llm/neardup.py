@@ -4,14 +4,15 @@ Every text is the set of its runs of successive words. Darts are thrown at each
 the k-th dart of an element arrives at a rank that depends on the element alone, hits one coordinate, and has a height
 below which the element's weight must not lie. A signature keeps, for each coordinate, the earliest dart that hits, so
 two texts agree in a coordinate with the probability of their weighted Jaccard similarity, at a cost of about
-k log k darts a text instead of k hashes an element. Signatures are cut into bands; texts that share a band are
-candidates, and candidates are compared exactly. All elements weigh 1, as the similarity that decides counts them alike.
+k log k darts a text instead of k hashes an element. Signatures are cut into bands, and texts that share a band are
+candidates. All elements weigh 1, as the similarity that decides counts them alike, so that no text depends on what
+others hold.
 
-Elements that stand in at least half of ``stop_share`` of all texts are common. Texts that meet in a band of nothing but
-common elements share boilerplate, and maybe no more: to such bands texts bring their sets, and within the bucket the
-near ones are found by rare elements and compared at once, so that the others never become candidates.
+Candidates of small buckets are compared exactly where their sets meet. To a larger bucket its texts bring their sets
+and are compared in it, through their rare elements, so that only near ones leave it; of the largest buckets, which no
+task should hold, the texts meet at their rare elements instead. No bucket is cut.
 
-Identical sets share a fingerprint and are one class throughout; copies never meet in a bucket.
+Texts of the same words share a fingerprint and are one class throughout; copies never meet in a bucket.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.textnorm import SHINGLE_TEXTS, WordHashes, distinct_pairs, mix64, shingle_sets
+from corpusmill.llm.textnorm import SHINGLE_TEXTS, WordHashes, distinct_pairs, mix64, shingle_sets, words
 from corpusmill.session import materialise
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -35,17 +36,15 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TEXTS_AT_A_TIME = SHINGLE_TEXTS
 CHARACTERS_AT_A_TIME = 8_000_000
 #: Entries (band key and fingerprint) that one task gets to sort.
-ENTRIES_PER_TASK = 600_000
-#: Distinct texts in one bucket that are paired with each other; the texts of a larger one are searched by rare elements.
-LARGEST_BUCKET = 2_000
-#: Of texts that meet in a band of common elements, up to which they are compared where they meet.
-LARGEST_COMMON_BUCKET = 10_000
-#: Elements of such sets that are searched at a time, unless one bucket has more.
-ELEMENTS_AT_A_TIME = 2_000_000
-#: Marks an element as common, beside its 53 bits.
-COMMON = np.uint64(1 << 63)
-#: Candidate pairs emitted in one Arrow batch.
+ENTRIES_PER_TASK = 4_000_000
+#: Distinct texts in one bucket that are paired with each other; to a larger one they bring their sets.
+LARGEST_BUCKET = 16
+#: Distinct texts that bring their sets to one bucket; those of a larger one are searched by rare elements across tasks.
+LARGEST_SEARCHED_BUCKET = 10_000
+#: Candidate pairs held or emitted at a time.
 PAIRS_AT_A_TIME = 200_000
+#: Fingerprints that a worker remembers as sent, before it starts over; it only saves copies.
+MEMO_PRINTS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -57,7 +56,6 @@ class Similarity:
     threshold: float = 0.8
     bands: int = 16
     rows: int = 5
-    stop_share: float = 0.01
 
     @property
     def coordinates(self) -> int:
@@ -68,13 +66,13 @@ class Similarity:
 
 
 #: Half of the runs of three words in common; 0.998 of the pairs at exactly that similarity are candidates.
-HALF_OF_THREE_WORDS = Similarity(words=3, least_words=20, threshold=0.5, bands=48, rows=3)
+HALF_OF_THREE_WORDS = Similarity(words=3, least_words=20, threshold=0.5, bands=97, rows=4)
 
 
 def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
     """(n_docs, k) winners: for each coordinate the identity of the earliest dart. Weights lie in (0, 1]; ``doc`` is sorted.
 
-    The lowest bit is that of the element's mark COMMON. Documents without elements get zeros.
+    Documents without elements get zeros.
     """
     out = np.zeros((n_docs, k), np.uint64)
     todo = np.flatnonzero(np.bincount(doc, minlength=n_docs))
@@ -104,8 +102,7 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
                 y = x[hit] * GOLDEN
             rank = (limit[where] - left[hit]).view(np.uint32).astype(np.uint64)
             name = y >> np.uint64(32)
-            marked = name & np.uint64(0xFFFFFFFE) | el[hit] >> np.uint64(63)
-            np.minimum.at(best, where * k + (name % np.uint64(k)).astype(np.int64), rank << np.uint64(32) | marked)
+            np.minimum.at(best, where * k + (name % np.uint64(k)).astype(np.int64), rank << np.uint64(32) | name)
         best = best.reshape(len(todo), k)
         done = (best != np.iinfo(np.uint64).max).all(axis=1)
         out[todo[done]] = best[done]
@@ -114,138 +111,137 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
     return out
 
 
-def fingerprints(doc: np.ndarray, element: np.ndarray, n_docs: int, scope: int) -> np.ndarray:
-    """One 64-bit value per set of elements, whatever their order."""
-    with np.errstate(over="ignore"):
-        total = np.zeros(n_docs, np.uint64)
-        np.add.at(total, doc, mix64(element ^ np.uint64(scope)))
-        return mix64(total + np.bincount(doc, minlength=n_docs).astype(np.uint64) * GOLDEN)
-
-
 def scope_hash(scope: str | None) -> int:
     return xxhash.xxh3_64_intdigest(scope or "")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[tuple[str, np.ndarray, int, np.ndarray, np.ndarray]]:
-    """(scope, ids, scope hash, doc, element) of a few texts at a time that share a scope."""
-    memo = WordHashes()
+def _word_lists(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[tuple[str, np.ndarray, list[list[str]], np.ndarray]]:
+    """(scope, ids, words, fingerprints) of a few texts at a time that share a scope; texts with too few words have neither."""
+    least = max(how.words, how.least_words)
     for batch in batches:
         scopes = batch.column("scope").to_pylist()
         length = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         edges = [0, *(i for i in range(1, len(scopes)) if scopes[i] != scopes[i - 1]), len(scopes)]
         for lo, hi in zip(edges, edges[1:]):
+            seed = scope_hash(scopes[lo]) if lo < hi else 0
             at = lo
             while at < hi:
                 upto = np.cumsum(length[at : min(at + TEXTS_AT_A_TIME, hi)])
                 part = batch.slice(at, max(1, int(np.searchsorted(upto, CHARACTERS_AT_A_TIME, "right"))))
                 at += len(part)
-                doc, element = shingle_sets(part.column("text").to_pylist(), how.words, how.least_words, memo)
-                yield scopes[lo] or "", part.column("id").to_numpy(zero_copy_only=False), scope_hash(scopes[lo]), doc, element
-
+                found = [w if len(w) >= least else [] for w in map(words, part.column("text").to_pylist())]
+                prints = np.array([xxhash.xxh3_64_intdigest(" ".join(w), seed) if w else 0 for w in found], np.uint64)
+                yield scopes[lo] or "", part.column("id").to_numpy(zero_copy_only=False), found, prints
 
-def _census(how: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each slice: fingerprints of its texts, and elements frequent in it with their counts."""
 
+def _distinct_sets(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(scope hash, fingerprints, doc, element) of texts that this worker has not met before."""
+    memo = WordHashes()
+    seen: set[int] = set()
+    for scope, _, found, prints in _word_lists(batches, how):
+        fresh, texts = [], []
+        for p, w in zip(prints.tolist(), found):
+            if w and p not in seen:
+                seen.add(p)
+                fresh.append(p)
+                texts.append(w)
+        if len(seen) > MEMO_PRINTS:
+            seen.clear()
+        if fresh:
+            yield scope_hash(scope), np.array(fresh, np.uint64), *shingle_sets(texts, how.words, memo)
+
+
+def _members(how: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for scope, ids, seed, doc, element in _slices(batches, how):
-            with_text = np.unique(doc)
-            if not len(with_text):
-                continue
-            prints = fingerprints(doc, element, len(ids), seed)
-            _, first = np.unique(prints[with_text], return_index=True)
-            once = np.isin(doc, with_text[first])  # copies say nothing about how common an element is
-            values, counts = np.unique(element[once], return_counts=True)
-            often = counts >= max(2, how.stop_share / 2 * len(first))
-            values, counts = values[often], counts[often]
-            a = np.concatenate([prints[with_text].view(np.int64), values.view(np.int64), [len(first)]])
-            b = np.concatenate([ids[with_text].astype(np.int64), counts.astype(np.int64), [0]])
-            kind = np.repeat(np.array([0, 1, 2], np.int8), [len(with_text), len(values), 1])
-            yield pa.RecordBatch.from_arrays([pa.array([scope] * len(a)), pa.array(kind), pa.array(a), pa.array(b)], ["scope", "kind", "a", "b"])
+        for scope, ids, found, prints in _word_lists(batches, how):
+            some = np.flatnonzero([bool(w) for w in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([scope] * len(some), pa.string()), pa.array(prints[some].view(np.int64)), pa.array(ids[some].astype(np.int64))], ["scope", "fp", "id"]
+            )
 
     return run
 
 
-def _is_common(element: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Which elements are among ``common``, which is sorted."""
-    if not len(common):
-        return np.zeros(len(element), bool)
-    return common[np.minimum(np.searchsorted(common, element), len(common) - 1)] == element
-
-
-def _firsts(doc: np.ndarray, element: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, element, rank, elements from this one on) of each set's first elements by rank: sets of similarity ``threshold`` share one of them."""
-    order = np.lexsort((element, rank, doc))
-    doc, element, rank = doc[order], element[order], rank[order]
-    _, start, size = np.unique(doc, return_index=True, return_counts=True)
-    left = np.repeat(start + size, size) - np.arange(len(doc))
-    first = left >= np.repeat(np.ceil(threshold * size - 1e-9).astype(np.int64), size)
-    return doc[first], element[first], rank[first], left[first]
-
-
-def _bands(how: Similarity, tasks: int, stops) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Band keys of the distinct texts, packed for each task: counts per text, fingerprints, keys; with sets where a band's winners are all common.
+def _bands(how: Similarity, tasks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Band keys of the distinct texts, packed for each task: counts per text, fingerprints, keys.
 
     Of a key 32 bits are left beside its task; the few texts that meet by chance are compared in vain.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none, seen = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        for scope, ids, seed, doc, element in _slices(batches, how):
-            prints = fingerprints(doc, element, len(ids), seed)
-            with_text = np.unique(doc)
-            fresh, first = np.unique(prints[with_text], return_index=True)
-            new = ~np.isin(fresh, seen)
-            fresh, chosen = fresh[new], with_text[first[new]]
-            if not len(chosen):
-                continue
-            seen = np.union1d(seen, fresh)
-            mine = np.isin(doc, chosen)
-            doc, element = doc[mine], element[mine]
-            common = _is_common(element, stops.value.get(scope, none))
-            marked = element | np.where(common, COMMON, np.uint64(0))
-            signature = dart_signatures(doc, marked, np.ones(len(element)), len(ids), how.coordinates)[chosen]
-            cut = (signature & np.uint64(0xFFFFFFFF)).reshape(len(chosen), how.bands, how.rows)
+        for seed, prints, doc, element in _distinct_sets(batches, how):
+            signature = dart_signatures(doc, element, np.ones(len(element)), len(prints), how.coordinates)
+            cut = (signature & np.uint64(0xFFFFFFFF)).reshape(len(prints), how.bands, how.rows)
             with np.errstate(over="ignore"):
                 key = np.arange(how.bands, dtype=np.uint64)[None, :] * GOLDEN + np.uint64(seed)
                 for r in range(how.rows):
                     key = mix64(key * GOLDEN + cut[:, :, r])
-            boilerplate = (cut & np.uint64(1)).all(axis=2)
-            owner, band = np.nonzero(~boilerplate)
-            key, whole = key[owner, band], key[boilerplate]
-            task, whole_task = (((k >> np.uint64(48)) * np.uint64(tasks) >> np.uint64(16)).astype(np.int64) for k in (key, whole))
-            order, whole_order = np.lexsort((owner, task)), np.argsort(whole_task, kind="stable")
+                key = key.ravel()
+                task = ((key >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
+            owner = np.repeat(np.arange(len(prints)), how.bands)
+            order = np.argsort(task, kind="stable")
             key, owner, task = key[order].astype(np.uint32), owner[order], task[order]
-            whole, whole_owner = whole[whole_order].astype(np.uint32), np.nonzero(boilerplate)[0][whole_order]
-            start, whole_start = np.searchsorted(task, np.arange(tasks + 1)), np.searchsorted(whole_task[whole_order], np.arange(tasks + 1))
-            small_doc, small = distinct_pairs(doc, element >> np.uint64(21))
-            small = small.astype(np.uint32)
-            begin, end = np.searchsorted(small_doc, chosen), np.searchsorted(small_doc, chosen, "right")
-            out_task, blobs = [], []
-            for t in range(tasks):
-                lo, hi = start[t], start[t + 1]
-                bring = whole_owner[whole_start[t] : whole_start[t + 1]]
-                if lo == hi and not len(bring):
-                    continue
+            edge = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
+            blobs = []
+            for lo, hi in zip(edge, edge[1:]):
                 who, count = np.unique(owner[lo:hi], return_counts=True)
-                out_task.append(t)
-                blobs.append(b"".join([
-                    np.array([len(who), hi - lo, len(bring)], np.uint32).tobytes(), count.astype(np.uint16).tobytes(), fresh[who].tobytes(), key[lo:hi].tobytes(),
-                    whole[whole_start[t] : whole_start[t + 1]].tobytes(), fresh[bring].tobytes(), (end - begin)[bring].astype(np.uint32).tobytes(), *(small[begin[i] : end[i]].tobytes() for i in bring),
-                ]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_task, pa.int32()), pa.array(blobs, pa.binary())], ["task", "blob"])
+                blobs.append(b"".join([np.array([len(who), hi - lo], np.uint32).tobytes(), count.astype(np.uint16).tobytes(), prints[who].tobytes(), key[lo:hi].tobytes()]))
+            yield pa.RecordBatch.from_arrays([pa.array(task[edge[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["task", "blob"])
 
     return run
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Keys and fingerprints; and keys, fingerprints, sizes and elements of the sets that came along."""
-    n, m, sets = map(int, np.frombuffer(blob, np.uint32, 3))
-    out, at = [], 12
-    for kind, size in ((np.uint16, n), (np.uint64, n), (np.uint32, m), (np.uint32, sets), (np.uint64, sets), (np.uint32, sets)):
-        out.append(np.frombuffer(blob, kind, size, at))
-        at += out[-1].nbytes
-    count, who, key, *brought, size = out
-    return key, np.repeat(who, count), *brought, size, np.frombuffer(blob, np.uint32, offset=at)
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and fingerprints."""
+    n, m = map(int, np.frombuffer(blob, np.uint32, 2))
+    count = np.frombuffer(blob, np.uint16, n, 8)
+    who = np.frombuffer(blob, np.uint64, n, 8 + 2 * n)
+    return np.frombuffer(blob, np.uint32, m, 8 + 10 * n), np.repeat(who, count)
+
+
+def _candidates(largest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of fingerprints that share a key, of the blobs of one task (a, b); the members of larger buckets (a, bucket, n texts in it)."""
+
+    def pairs(first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = distinct_pairs(np.concatenate(first), np.concatenate(second))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], ["a", "b", "bucket", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, task = [], 0
+        for batch in batches:
+            task = batch.column("task")[0].as_py() if len(batch) else task
+            got += [_unpack(blob) for blob in batch.column("blob").to_pylist()]
+        if not got:
+            return
+        key, who = (np.concatenate(x) for x in zip(*got))
+        del got
+        key, who = distinct_pairs(key, who)
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        begin, size = edge[:-1], np.diff(edge)
+        large = np.flatnonzero(size > largest)
+        if len(large):
+            n = size[large]
+            bucket = np.repeat(key[begin[large]].astype(np.int64) | task << 32, n)
+            a = who[_ranges(begin[large], n)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(bucket), pa.array(np.repeat(n, n))], ["a", "b", "bucket", "n"])
+        first, second, held = [], [], 0
+        for n in range(2, largest + 1):
+            at = begin[size == n]
+            for shift in range(1, n):
+                rows = max(1, PAIRS_AT_A_TIME // (n - shift))
+                for lo in range(0, len(at), rows):
+                    left = (at[lo : lo + rows, None] + np.arange(n - shift)[None, :]).ravel()
+                    x, y = who[left].view(np.int64), who[left + shift].view(np.int64)
+                    first.append(np.minimum(x, y))
+                    second.append(np.maximum(x, y))
+                    held += len(left)
+                    if held >= PAIRS_AT_A_TIME:
+                        yield pairs(first, second)
+                        first, second, held = [], [], 0
+        if held:
+            yield pairs(first, second)
+
+    return run
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -253,7 +249,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _common_entries(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _shared(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers of elements that the sets of each pair share."""
     n, m = size[a], size[b]
     pair = np.repeat(np.r_[: len(a), : len(b)].astype(np.uint64), np.r_[n, m])
@@ -261,33 +257,34 @@ def _common_entries(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np
     return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(a))
 
 
-def _near_in_buckets(bucket: np.ndarray, size: np.ndarray, flat: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets of one bucket with the similarity, by row; exact, a pair perhaps more than once.
+def _near_sets(size: np.ndarray, flat: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of sets with at least the similarity, by row, and that similarity; exact, a pair perhaps more than once.
 
-    Each set's elements are ordered by their frequency in the bucket. Near sets share one of their first elements, and
-    after the first that they share enough must be left in both.
+    Each set's elements are ordered by their frequency here. Near sets share one of their first elements, and after the
+    first that they share enough must be left in both.
     """
     start = np.cumsum(size) - size
     row = np.repeat(np.arange(len(size)), size)
-    code = bucket[row].astype(np.uint64) << np.uint64(32) | flat
-    _, place, often = np.unique(code, return_inverse=True, return_counts=True)
-    row, code, often, left = _firsts(row, code, often[place], threshold)
-    code, row, left = code[often > 1], row[often > 1], left[often > 1]
+    _, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((flat, often[place], row))
+    row, code, often = row[order], flat[order], often[place][order]
+    left = start[row] + size[row] - np.arange(len(row))
+    kept = (left >= np.ceil(threshold * size[row] - 1e-9)) & (often > 1)
+    code, row, left = code[kept], row[kept], left[kept]
     order = np.lexsort((size[row], code))
     code, row, left = code[order], row[order], left[order]
-    edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
+    edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, int)
     begin, n_in = edge[:-1], np.diff(edge)
     first, second, held = [], [], 0
 
-    def near() -> tuple[np.ndarray, np.ndarray]:
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         a, b = distinct_pairs(np.concatenate(first), np.concatenate(second))
-        kept = []
         for lo in range(0, len(a), 5_000):
             x, y = a[lo : lo + 5_000], b[lo : lo + 5_000]
-            shared = _common_entries(flat, start, size, x, y)
-            kept.append(shared >= threshold * (size[x] + size[y] - shared) - 1e-9)
-        kept = np.concatenate(kept)
-        return a[kept], b[kept]
+            shared = _shared(flat, start, size, x, y)
+            similarity = shared / (size[x] + size[y] - shared)
+            kept = similarity >= threshold - 1e-12
+            yield x[kept], y[kept], similarity[kept]
 
     for n in np.unique(n_in[n_in > 1]):
         at = begin[n_in == n]
@@ -301,78 +298,22 @@ def _near_in_buckets(bucket: np.ndarray, size: np.ndarray, flat: np.ndarray, thr
                 second.append(np.maximum(a, b)[could])
                 held += len(first[-1])
                 if held >= PAIRS_AT_A_TIME:
-                    yield near()
+                    yield from near()
                     first, second, held = [], [], 0
     if held:
-        yield near()
-
-
-def _candidates(largest: int, largest_common: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of fingerprints that share a key, of the blobs of one task, where they brought sets those that are near; of larger buckets the members, without partner."""
-
-    def alone(who: np.ndarray) -> pa.RecordBatch:
-        who = np.unique(who).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64())], ["a", "b"])
-
-    def of_sets(key: np.ndarray, who: np.ndarray, size: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.cumsum(size) - size
-        order = np.lexsort((who, key))
-        key, who, start, size = key[order], who[order], start[order], size[order]
-        once = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])
-        key, who, start, size = key[once], who[once], start[once], size[once]
-        _, bucket, n_in = np.unique(key, return_inverse=True, return_counts=True)
-        n_in = n_in[bucket]
-        if (n_in > largest_common).any():
-            yield alone(who[n_in > largest_common])
-        met = (n_in > 1) & (n_in <= largest_common)
-        bucket, who, start, size = bucket[met], who[met], start[met], size[met]
-        lo, total = 0, np.cumsum(size)
-        while lo < len(bucket):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - size[lo] + ELEMENTS_AT_A_TIME, "right")))
-            hi = int(np.searchsorted(bucket, bucket[hi - 1], "right"))  # buckets stay whole
-            for a, b in _near_in_buckets(bucket[lo:hi], size[lo:hi], flat[_ranges(start[lo:hi], size[lo:hi])], threshold):
-                x, y = who[lo:hi][a], who[lo:hi][b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
-            lo = hi
+        yield from near()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [_unpack(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
-        if not got:
-            return
-        key, who, *brought = (np.concatenate(x) for x in zip(*got))
-        del got
-        if len(brought[0]):
-            yield from of_sets(brought[0], brought[1], brought[2].astype(np.int64), brought[3])
-        del brought
-        key, who = distinct_pairs(key, who)
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        begin, size = edge[:-1], np.diff(edge)
-        begin, size = begin[size > 1], size[size > 1]
-        large = size > largest
-        if large.any():
-            yield alone(np.concatenate([who[b : b + n] for b, n in zip(begin[large], size[large])]))
-            begin, size = begin[~large], size[~large]
-        first, second, held = [], [], 0
 
-        def batch() -> pa.RecordBatch:
-            a, b = np.concatenate(first), np.concatenate(second)
-            a, b = distinct_pairs(a, b)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _near_in_bucket(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Near pairs among the texts of one bucket (fp, members)."""
 
-        for n in np.unique(size):
-            at = begin[size == n]
-            for shift in range(1, n):
-                rows = max(1, PAIRS_AT_A_TIME // int(n - shift))
-                for lo in range(0, len(at), rows):
-                    left = (at[lo : lo + rows, None] + np.arange(n - shift)[None, :]).ravel()
-                    first.append(who[left])
-                    second.append(who[left + shift])
-                    held += len(left)
-                    if held >= PAIRS_AT_A_TIME:
-                        yield batch()
-                        first, second, held = [], [], 0
-        if held:
-            yield batch()
+    def run(bucket: pa.Table) -> pa.Table:
+        who = bucket.column("fp").to_numpy()
+        members = bucket.column("members").to_pylist()
+        size = np.array([len(m) // 4 for m in members], np.int64)
+        found = [(who[x], who[y], s) for x, y, s in _near_sets(size, np.frombuffer(b"".join(members), np.uint32), threshold)]
+        x, y, s = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": s})
 
     return run
 
@@ -381,23 +322,11 @@ def _sets(how: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """Sets of the distinct texts, as sorted 32-bit values: a pair of sets is compared wrongly about once in a million times, by one element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, np.uint64)
-        for _, ids, seed, doc, element in _slices(batches, how):
-            prints = fingerprints(doc, element, len(ids), seed)
-            with_text = np.unique(doc)
-            fresh, first = np.unique(prints[with_text], return_index=True)
-            new = ~np.isin(fresh, seen)
-            fresh, chosen = fresh[new], with_text[first[new]]
-            if not len(chosen):
-                continue
-            seen = np.union1d(seen, fresh)
-            mine = np.isin(doc, chosen)
-            doc, small = distinct_pairs(doc[mine], element[mine] >> np.uint64(21))
-            edge = np.searchsorted(doc, chosen), np.searchsorted(doc, chosen, "right")
-            small = small.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fresh.view(np.int64)), pa.array([small[lo:hi].tobytes() for lo, hi in zip(*edge)], pa.binary())], ["fp", "members"]
-            )
+        for _, prints, doc, element in _distinct_sets(batches, how):
+            doc, small = distinct_pairs(doc, element >> np.uint64(21))
+            edge = np.searchsorted(doc, np.arange(len(prints) + 1)) * 4
+            small = small.astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array([small[lo:hi] for lo, hi in zip(edge, edge[1:])], pa.binary())], ["fp", "members"])
 
     return run
 
@@ -425,30 +354,31 @@ def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _prefixes(threshold: float, stops) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(element, fp) of each set's first elements, frequent ones last: sets of similarity ``threshold`` share one of them."""
-    common = np.unique(np.concatenate([np.empty(0, np.uint64), *stops.values()]) >> np.uint64(21)).astype(np.uint32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members = batch.column("members").to_pylist()
-            element = np.frombuffer(b"".join(members), np.uint32)
-            doc, first, _, _ = _firsts(np.repeat(np.arange(len(members)), [len(m) // 4 for m in members]), element, _is_common(element, common), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), batch.column("fp").take(pa.array(doc))], ["element", "fp"])
-
-    return run
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        members = batch.column("members").to_pylist()
+        size = np.array([len(m) // 4 for m in members], np.int64)
+        row = pa.array(np.repeat(np.arange(len(size)), size))
+        element = pa.array(np.frombuffer(b"".join(members), np.uint32).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("scope").take(row), batch.column("fp").take(row), pa.array(np.repeat(size, size)), element], ["scope", "fp", "size", "element"])
 
 
-def _pairs_of_large(large: DataFrame, members: DataFrame, sets: DataFrame, threshold: float, stops: dict[str, np.ndarray]) -> DataFrame:
-    """Candidates among the texts of large buckets, none lost: those that share one of their first elements in a common order.
+def _pairs_by_rare_elements(fps: DataFrame, members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Candidates among the texts of ``fps``, none lost: those that share one of their first elements by frequency, with enough left after it.
 
-    What such texts have in common is frequent and comes last, so that only texts close to each other meet.
+    What many such texts have in common comes last, so that only texts close to each other meet.
     """
-    firsts = sets.join(large.distinct(), "fp", "left_semi").mapInArrow(_prefixes(threshold, stops), "element bigint, fp bigint")
-    scopes = members.join(large.distinct(), "fp", "left_semi").select("fp", "scope").distinct()
-    firsts = materialise(firsts.join(scopes, "fp"))
-    left, right = firsts.withColumnRenamed("fp", "a"), firsts.withColumnRenamed("fp", "b")
-    return left.join(right, ["scope", "element"]).where("a < b").select("a", "b").distinct()
+    scopes = members.join(fps, "fp", "left_semi").select("fp", "scope").distinct()
+    each = sets.join(scopes, "fp").select("scope", "fp", "members").mapInArrow(_elements, "scope string, fp bigint, size bigint, element bigint")
+    each = materialise(each)
+    often = each.groupBy("scope", "element").count().where("count > 1")
+    ordered = each.join(often, ["scope", "element"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("count", F.lit(1)), "element")))
+    left = F.col("size") - F.col("nth") + 1
+    first = ordered.where(F.col("count").isNotNull() & (left >= F.ceil(threshold * F.col("size") - 1e-9))).select("scope", "element", "fp", "size", left.alias("left"))
+    first = materialise(first)
+    one, other = (first.select("scope", "element", F.col("fp").alias(x), F.col("size").alias(f"size_{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
+    enough = F.least("left_a", "left_b") * (1 + threshold) >= threshold * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return one.join(other, ["scope", "element"]).where("a < b").where(enough).select("a", "b").distinct()
 
 
 @dataclass
@@ -463,42 +393,30 @@ def near_duplicates(records: DataFrame, how: Similarity) -> NearDuplicates:
     """Classes and links of ``records`` (scope string, id bigint, text string; other columns are ignored).
 
     Records only meet within their scope. Null, empty and short texts (fewer than ``least_words`` words) take no part;
-    repeated rows and identical texts share a class; an empty table gives empty results. Sets with one 64-bit
+    repeated rows and texts of the same words share a class; an empty table gives empty results. Texts with one 64-bit
     fingerprint are taken for identical (for a billion classes a wrong pair is expected 0.03 times).
     """
     spark = records.sparkSession
     records = records.select("scope", "id", "text")
-    census = materialise(records.mapInArrow(_census(how), "scope string, kind tinyint, a bigint, b bigint"))
-    members = census.where("kind = 0").select("scope", F.col("a").alias("fp"), F.col("b").alias("id"))
-    # At most 2 / stop_share elements for each element of a mean text: each stands in half of that share of all texts.
-    texts = {r["scope"]: r["n"] for r in census.where("kind = 2").groupBy("scope").agg(F.sum("a").alias("n")).collect()}
-    common = census.where("kind = 1").groupBy("scope", "a").agg(F.sum("b").alias("n"))
-    if texts:
-        least = F.create_map(*[x for s, n in texts.items() for x in (F.lit(s), F.lit(how.stop_share / 2 * n))])
-        common = common.where(F.col("n") >= F.greatest(least[F.col("scope")], F.lit(20.0)))
-    stop: dict[str, np.ndarray] = {}
-    for scope, group in common.select("scope", "a").toPandas().groupby("scope"):
-        stop[scope] = np.sort(group["a"].to_numpy(np.int64).view(np.uint64))
-    stops = spark.sparkContext.broadcast(stop)
-
-    tasks = max(1, min(60_000, math.ceil(sum(texts.values()) * how.bands / ENTRIES_PER_TASK)))
-    tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = records.mapInArrow(_bands(how, tasks, stops), "task int, blob binary").repartitionById(tasks, F.col("task"))
-    pairs = materialise(packed.mapInArrow(_candidates(LARGEST_BUCKET, LARGEST_COMMON_BUCKET, how.threshold), "a bigint, b bigint").distinct())
+    members = materialise(records.mapInArrow(_members(how), "scope string, fp bigint, id bigint"))
+    tasks = max(math.ceil(members.count() * how.bands / ENTRIES_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = records.mapInArrow(_bands(how, tasks), "task int, blob binary").repartitionById(tasks, F.col("task"))
+    met = materialise(packed.mapInArrow(_candidates(LARGEST_BUCKET), "a bigint, b bigint, bucket bigint, n bigint"))
     sets = records.mapInArrow(_sets(how), "fp bigint, members binary").groupBy("fp").agg(F.first("members").alias("members"))
-    large = pairs.where("b is null").select(F.col("a").alias("fp"))
-    pairs = pairs.where("b is not null")
-    if large.limit(1).count():
-        # Pairs come with the smaller value, unsigned, first in one case and signed in the other.
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = ordered.union(_pairs_of_large(large, members, sets, how.threshold, stop)).distinct()
-    found = (
+
+    pairs = met.where("bucket is null").select("a", "b").distinct()
+    largest = met.where(F.col("n") > LARGEST_SEARCHED_BUCKET).select(F.col("a").alias("fp")).distinct()
+    if largest.limit(1).count():
+        pairs = pairs.union(_pairs_by_rare_elements(largest, members, sets, how.threshold)).distinct()
+    compared = (
         pairs.join(sets.hint("shuffle_merge").select(F.col("fp").alias("a"), F.col("members").alias("members_a")), "a")
         .join(sets.hint("shuffle_merge").select(F.col("fp").alias("b"), F.col("members").alias("members_b")), "b")
         .select("a", "b", "members_a", "members_b")
         .mapInArrow(_compare(how.threshold), "a bigint, b bigint, similarity double")
     )
-    return NearDuplicates(members, found)
+    large = met.where(F.col("n") <= LARGEST_SEARCHED_BUCKET).select(F.col("a").alias("fp"), "bucket")
+    searched = large.join(sets.hint("shuffle_merge"), "fp").groupBy("bucket").applyInArrow(_near_in_bucket(how.threshold), "a bigint, b bigint, similarity double")
+    return NearDuplicates(members, compared.union(searched).dropDuplicates(["a", "b"]))
 
 
 def record_pairs(near: NearDuplicates) -> DataFrame:

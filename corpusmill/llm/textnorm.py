@@ -59,22 +59,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 SHINGLE_TEXTS = 2_048
 
 
-def shingle_sets(texts: Iterable[str | None], size: int, least_words: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 53-bit hashes of ``size`` successive words, of at most ``SHINGLE_TEXTS`` texts together.
+def shingle_sets(texts: list[list[str]], size: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 53-bit hashes of ``size`` successive words, of the words of at most ``SHINGLE_TEXTS`` texts together.
 
-    Returns (doc, hash), sorted by both; a text of fewer than ``least_words`` words has none.
+    Returns (doc, hash), sorted by both; a text of fewer words has none.
     """
     flat: list[int] = []
-    counts: list[int] = []
     get = memo.__getitem__
-    for text in texts:
-        found = words(text)
-        if len(found) < max(size, least_words):
-            counts.append(0)
-            continue
-        counts.append(len(found))
+    for found in texts:
         flat.extend(map(get, found))
-    if not flat:
+    counts = list(map(len, texts))
+    if len(flat) < size:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h, n = np.array(flat, dtype=np.uint64), np.array(counts, dtype=np.int64)
     doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)

@@ -41,10 +41,11 @@ def corpus(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize(("seed", "largest"), [(1, 2_000), (2, 2_000), (3, 2), (4, 1)])
-def test_pairs_against_all_comparisons(spark, monkeypatch, seed, largest):
-    """With all buckets paired, with large ones searched by prefixes, and with every bucket searched so."""
-    monkeypatch.setattr(neardup, "LARGEST_BUCKET", largest)
+@pytest.mark.parametrize(("seed", "paired", "searched"), [(1, 2_000, 10_000), (2, 16, 10_000), (3, 2, 10_000), (4, 1, 10_000), (5, 2, 3), (6, 1, 1)])
+def test_pairs_against_all_comparisons(spark, monkeypatch, seed, paired, searched):
+    """With all buckets paired, with large ones searched where they meet, and with large or all ones searched by rare elements across tasks."""
+    monkeypatch.setattr(neardup, "LARGEST_BUCKET", paired)
+    monkeypatch.setattr(neardup, "LARGEST_SEARCHED_BUCKET", searched)
     texts = corpus(seed)
     rows = [("a" if i % 9 else "b", i, t, "clash") for i, t in enumerate(texts)]
     rows += [("a", 1000 + k, texts[1], "clash") for k in range(4)]  # copies
@@ -110,7 +111,7 @@ def test_boilerplate_alone_is_still_found(spark):
 @pytest.mark.parametrize("largest", [10_000, 50])
 def test_near_copies_of_common_text_against_all_comparisons(spark, monkeypatch, largest):
     """A third of the texts are copies of a template with 3 to 5 edits each: similarities about 0.5 to 0.7, all that is shared is common."""
-    monkeypatch.setattr(neardup, "LARGEST_COMMON_BUCKET", largest, raising=False)
+    monkeypatch.setattr(neardup, "LARGEST_SEARCHED_BUCKET", largest)
     draw = random.Random(7)
     rows = []
     for i in range(120):
@@ -141,3 +142,28 @@ def test_chat_text(spark):
 
 def test_recall_of_the_bands():
     assert HOW.recall(0.5) > 0.998 and neardup.Similarity().recall(0.8) > 0.99
+
+
+@pytest.mark.parametrize("parts", [1, 8, 40])
+def test_links_by_a_shared_footer_on_any_partitioning(spark, parts):
+    """60 texts share a footer of 62 words (similarity 0.545) among 1 500 others: the 1 770 links do not depend on partitions."""
+    footer = " ".join(f"f{k}" for k in range(62))
+    rows = [("a", i, f"{footer} " + " ".join(f"o{i}x{k}" for k in range(25)), "") for i in range(60)]
+    rows += [("a", 100 + i, " ".join(f"r{i}x{k}" for k in range(80)), "") for i in range(1_500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts, "id")
+    found = neardup.record_pairs(neardup.near_duplicates(df, HOW)).collect()
+    assert len(found) == 1_770 and all(r["id_b"] < 60 for r in found)
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8, 1.0])
+def test_candidates_by_the_similarity_that_decides(spark, common):
+    """Pairs of similarity 0.51, whose shared words are to a part those of many other texts: at least 0.99 are found."""
+    rows, n = [], 200
+    shared = 70
+    often = int(common * shared)
+    for i in range(n):
+        body = [f"c{k}" for k in range(often)] + [f"p{i}x{k}" for k in range(shared - often)]
+        rows += [("a", 2 * i + side, " ".join(body + [f"o{i}s{side}x{k}" for k in range(31)]), "") for side in (0, 1)]
+    found = {(r["id_a"], r["id_b"]) for r in neardup.record_pairs(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), HOW)).collect()}
+    expected = {(a, b) for _, a, b in brute(rows)}
+    assert found <= expected and len(found) >= 0.99 * len(expected) and len(expected) >= n
