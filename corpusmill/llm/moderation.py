@@ -3,8 +3,9 @@
 Noisy channel: what a writer meant is decoded from what stands there. Every token becomes a lattice of characters, in
 which a sign may stand for a letter it looks like, for any letter, or for none, a letter may repeat the one before, and
 two neighbours may be swapped, each at a cost; Viterbi search finds the cheapest reading under a character model of
-the corpus and the labelled sentences. The sentences so restored are scored by a linear model of word sequences, fitted on the
-labelled sentences alone.
+the corpus and the labelled sentences. The restored passages are scored by how much better word models of the labelled
+classes explain them than the words of the corpus at large do. All that the scorer knows comes from the labelled
+sentences, the term list and the counts of the corpus; every passage of every text is scored.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from re import _parser
 from typing import NamedTuple
 
 import numpy as np
@@ -28,14 +28,10 @@ from corpusmill.llm.tokens import clean_source
 MOST_SAMPLES = 50_000
 #: Listed terms that a worker is given; a longer list is refused, not cut.
 MOST_TERMS = 1_000_000
-#: A document counts where its worst sentence scores at least this.
-THRESHOLD = 0.4
-#: Words of a longer sentence that are scored at a time, besides the whole; unmarked sentence ends would hide a passage else.
+#: A document counts where its worst passage scores at least this.
+THRESHOLD = 0.5
+#: Words of a longer sentence that are scored at a time, each half of them anew; unmarked sentence ends would hide a passage else.
 WINDOW = 14
-#: Words around a window in which a sign of a report or a literal use still counts.
-AROUND = 10
-#: Features that a sentence counts as having at least, so that a word or two prove nothing.
-FEWEST_FEATURES = 10
 CLASSES = ("clean", "abusive", "hateful", "sexual")
 
 #: Signs that stand for letters.
@@ -52,19 +48,21 @@ NOISE = set("-*._~'’`·|,!#%^+/\\:;?•")
 SAME, LOOKS, HIDDEN, DROPPED, REPEATED, SWAPPED = 0.0, 0.5, 1.0, 0.8, 0.4, 4.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SIZE = len(LETTERS) + 1
-BEAM = 24
 #: A known word is read where it costs at most so much more than the cheapest reading of all; words not in use are many, each of them rare.
 KNOWN_MARGIN = 8.0
-LONGEST_TOKEN = 40
-#: Spellings and sentences that a worker remembers before it starts over; they only save time.
+#: Spellings that a worker remembers before it starts over; they only save time.
 MEMO_CHUNKS = 300_000
-MEMO_SENTENCES = 200_000
-#: Sequences that speak for a class by less than this are taken to say nothing.
-LEAST_LEAN = 0.15
-#: Words in more than this share of the labelled sentences; sequences of nothing else are no reason to score a sentence.
-COMMON_SHARE = 0.03
-#: Marks of words that the scorer does not know, and of numbers.
-UNKNOWN, NUMBER = "zzz", "<n>"
+#: Share of passages that are expected to offend, before a word is read.
+PRIOR = 0.001
+#: Words of a phrase come together; each counts as this part of an independent one.
+INDEPENDENCE = 0.5
+#: Parts of a passage that a class may account for; the rest are words of the corpus at large. The likeliest is taken.
+PARTS = (0.1, 0.3, 0.6)
+#: Smoothing: what a word is taken to occur beyond its count, in a language of so many words.
+PSEUDO_COUNT, WORD_TYPES = 0.3, 100_000
+#: Letters at the beginning that words not in the labelled sentences are known by, if they stand there in other words.
+STEM = 5
+NUMBER = "<n>"
 
 
 #: Letters that decomposition leaves whole.
@@ -85,7 +83,8 @@ class CharacterModel:
         p1 = (uni + 1) / (uni + 1).sum()
         p2 = (bi + 5 * p1) / (bi.sum(1, keepdims=True) + 5)
         p3 = (tri + 3 * p2[None]) / (tri.sum(2, keepdims=True) + 3)
-        self.cost = (-np.log(p3)).tolist()
+        self.table = -np.log(p3)
+        self.cost = self.table.tolist()
 
 
 _LETTER_NUMBERS = bytes(b - 96 if 97 <= b <= 122 else 0 for b in range(256))
@@ -129,12 +128,14 @@ _OPTIONS = {c: _readings(c) for c in {*HIDES, *LOOKALIKES, *LETTERS}}
 
 
 class Words:
-    """The known words as a trie, for readings that end in one of them."""
+    """The known words as a trie. A node stands for one beginning, so that it is the whole state of a search."""
 
     def __init__(self, known: Iterable[str]):
         self.child: list[dict[int, int]] = [{}]
         self.final = [False]
-        for word in known:
+        self.read = [""]
+        self.last = [(0, 0)]  # numbers of the last two letters
+        for word in sorted(known):
             node = 0
             for c in word:
                 x = ord(c) - 96
@@ -142,57 +143,102 @@ class Words:
                     self.child[node][x] = len(self.child)
                     self.child.append({})
                     self.final.append(False)
+                    self.read.append(self.read[node] + c)
+                    self.last.append((self.last[node][1], x))
                 node = self.child[node][x]
             self.final[node] = True
+        self.longest = max(map(len, self.read))
 
 
-def decode(token: str, model: CharacterModel, words: Words | None = None) -> tuple[float, str] | None:
-    """Cheapest reading of one token and its cost: Viterbi search along the lattice of its characters.
+_SIGNS = re.compile("[" + re.escape("".join(sorted(HIDES | (NOISE - LOOKALIKES.keys())))) + "]{2,}")
 
-    A state is the last two letters read and, where the reading has to end as one of ``words``, the place in their trie.
-    None where no reading does.
-    """
-    cost3 = model.cost
-    states: list[dict[tuple[int, int, int], tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
-    states[0][0, 0, 0] = (0.0, "")
-    exact = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in token]
-    free = {x: 0 for x in range(1, SIZE)}
 
-    def reach(at: int, key: tuple[int, int, int], cost: float, read: str) -> None:
-        old = states[at].get(key)
-        if old is None or cost < old[0]:
-            states[at][key] = (cost, read)
+def shorten(token: str, longest: int) -> str:
+    """A token without signs that a word of ``longest`` letters can but drop: which signs of a run are dropped makes no difference to what is read."""
+
+    def cut(m: re.Match) -> str:
+        hiding = [c for c in m[0] if c in HIDES][:longest]
+        return "".join(([] if len(hiding) == len(m[0]) else ["-"]) + hiding)
+
+    return _SIGNS.sub(cut, token)
+
+
+def _exact(token: str) -> list[int]:
+    return [ord(c) - 96 if "a" <= c <= "z" else 0 for c in token]
+
 
+def decode(token: str, model: CharacterModel, words: Words) -> tuple[float, str] | None:
+    """Cheapest reading of one token that is one of ``words``, and its cost: Viterbi search along the lattice of its characters.
+
+    Exact; the trie bounds the states. None where no reading is a known word.
+    """
+    cost3, child, last = model.cost, words.child, words.last
+    states: list[dict[int, float]] = [{} for _ in range(len(token) + 2)]
+    states[0][0] = 0.0
+    exact = _exact(token)
     for i, c in enumerate(token):
-        reachable = states[i]
-        if not reachable:
+        here = states[i]
+        if not here:
             if not states[i + 1]:
                 return None  # no known word begins so
             continue
+        states[i] = {}
         options = _OPTIONS.get(c, {})
-        if len(reachable) > BEAM:
-            reachable = dict(sorted(reachable.items(), key=lambda s: s[1][0])[:BEAM])
+        drop, repeat = c in NOISE or not options, exact[i] if exact[i] and i and token[i - 1] == c else -1
         swap = i + 1 < len(token) and exact[i] and exact[i + 1] and exact[i] != exact[i + 1]
-        for (a, b, node), (cost, read) in reachable.items():
-            row, onward = cost3[a][b], words.child[node] if words else free
-            for x, extra in options.items():
-                if x in onward:
-                    reach(i + 1, (b, x, onward[x]), cost + extra + row[x], read + LETTERS[x - 1])
-            if c in NOISE or not options:
-                reach(i + 1, (a, b, node), cost + DROPPED, read)
-            if exact[i] and exact[i] == b and i and token[i - 1] == c:
-                reach(i + 1, (a, b, node), cost + REPEATED, read)
-            if swap and (x := exact[i + 1]) in onward:
-                y, after = exact[i], words.child[onward[x]] if words else free
-                if y in after:
-                    reach(i + 2, (x, y, after[y]), cost + SWAPPED + row[x] + cost3[b][x][y], read + LETTERS[x - 1] + LETTERS[y - 1])
-    ends = [(cost + cost3[a][b][0], read) for (a, b, node), (cost, read) in states[-1].items() if read and (words is None or words.final[node])]
+        after, later = states[i + 1], states[i + 2]
+        for node, cost in here.items():
+            a, b = last[node]
+            row, onward = cost3[a][b], child[node]
+            for x in onward.keys() & options.keys():
+                to, total = onward[x], cost + options[x] + row[x]
+                if total < after.get(to, math.inf):
+                    after[to] = total
+            if drop and cost + DROPPED < after.get(node, math.inf):
+                after[node] = cost + DROPPED
+            if repeat == b and cost + REPEATED < after.get(node, math.inf):
+                after[node] = cost + REPEATED
+            if swap and (x := exact[i + 1]) in onward and (y := exact[i]) in child[onward[x]]:
+                to, total = child[onward[x]][y], cost + SWAPPED + row[x] + cost3[b][x][y]
+                if total < later.get(to, math.inf):
+                    later[to] = total
+    ends = [(cost + cost3[last[n][0]][last[n][1]][0], words.read[n]) for n, cost in states[len(token)].items() if words.final[n]]
     return min(ends, default=None)
 
 
+def cheapest(token: str, model: CharacterModel) -> float:
+    """Cost of the cheapest reading of one token, whether it is a word or not. A state is the last two letters; all are kept."""
+    table = model.table
+    exact = _exact(token)
+    nowhere = np.full((SIZE, SIZE), np.inf)
+    here, after = nowhere.copy(), nowhere.copy()
+    here[0, 0] = 0.0
+    for i, c in enumerate(token):
+        later = nowhere.copy()
+        options = _OPTIONS.get(c, {})
+        if len(options) > 3:
+            x = np.fromiter(options, int)
+            reached = (here[:, :, None] + table[:, :, x]).min(axis=0) + np.fromiter(options.values(), float)
+            after[:, x] = np.minimum(after[:, x], reached)
+        else:
+            for x, extra in options.items():
+                after[:, x] = np.minimum(after[:, x], (here + table[:, :, x]).min(axis=0) + extra)
+        if c in NOISE or not options:
+            after = np.minimum(after, here + DROPPED)
+        if exact[i] and i and token[i - 1] == c:
+            after[:, exact[i]] = np.minimum(after[:, exact[i]], here[:, exact[i]] + REPEATED)
+        if i + 1 < len(token) and exact[i] and exact[i + 1] and exact[i] != exact[i + 1]:
+            x, y = exact[i + 1], exact[i]
+            first = (here + table[:, :, x]).min(axis=0)
+            later[x, y] = min(later[x, y], (first + table[:, x, y]).min() + SWAPPED)
+        here, after = after, later
+    here = here + table[:, :, 0]
+    here[0, 0] = np.inf  # nothing was read
+    return float(here.min())
+
+
 #: A line end as a chunk of its own; a private sign, which no text means.
 LINE_END = " \ue000 "
-QUOTES = "\"“”„«»‘‚"
 #: Signs that do not belong to a word, before and after it.
 BEFORE, AFTER = "\"“”„«»‘’‚'([{<>", "\"“”«»‘’'‚)]}<>,;:"
 PLAIN = re.compile(r"[a-z]+")
@@ -209,7 +255,6 @@ class Token(NamedTuple):
     letter: str  # the letter, if the chunk is a single one
     begins: bool  # its one word begins, but is not, a known word
     ends: bool  # its one word ends, but is not, a known word
-    quoted: bool
     closes: bool
     plain: bool  # none of the above
 
@@ -230,12 +275,13 @@ class Restorer:
         plain = PIECES.findall(core)
         if len(plain) == 1 and plain[0] == core and (core in self.known or core.isdigit()):
             return plain
-        if 3 <= len(core) <= LONGEST_TOKEN and any(c.isalpha() for c in core):
+        if len(core) >= 3 and any(c.isalpha() for c in core):
             bare = core.rstrip(".!?…")
             if bare not in self.known and (not PLAIN.fullmatch(bare) or frozenset(bare) in self.letters):
                 for attempt in dict.fromkeys((bare, core.rstrip(".?…"))):
+                    attempt = shorten(attempt, self.words.longest)
                     read = decode(attempt, self.model, self.words)
-                    if read and read[0] <= decode(attempt, self.model)[0] + KNOWN_MARGIN:
+                    if read and read[0] <= cheapest(attempt, self.model) + KNOWN_MARGIN:
                         return [read[1]]
         return plain
 
@@ -248,8 +294,7 @@ class Restorer:
         begins, ends = one in self.heads, one in self.tails
         shout = core.endswith("!") and any(c in LOOKALIKES and not c.isalpha() for c in core[:-1])
         closes = bare in TAILS or bool(SENTENCE_END.search(chunk)) and not shout
-        quoted = chunk[0] in QUOTES
-        return Token(got, letter, begins, ends, quoted, closes, not (letter or begins or ends or quoted or closes))
+        return Token(got, letter, begins, ends, closes, not (letter or begins or ends or closes))
 
     def sentences(self, text: str | None) -> Iterator[list[str]]:
         """Sentences end at their marks, at interjections and at line ends, unless a word runs on across the line."""
@@ -286,8 +331,6 @@ class Restorer:
                     yield now
                     now, spelled = [], []
                 cut = False
-                if token.quoted:
-                    now.append("<q>")
                 if token.letter:
                     spelled.append(token.letter)
                 now += token.words
@@ -319,190 +362,42 @@ class Restorer:
                     break
 
 
-def features(marks: list[str], terms: dict[str, tuple[str, int]]) -> set[str]:
-    """Words, pairs and triples of a marked sentence, in which a run of unknown words is one mark; terms add their category."""
-    squeezed = [m for i, m in enumerate(marks) if m != UNKNOWN or not i or marks[i - 1] != UNKNOWN]
-    out = {m for m in squeezed if m not in (UNKNOWN, NUMBER)}
-    for m in list(out):
-        if m in terms:
-            category, severity = terms[m]
-            out |= {f"={category}", f"={category}{severity}"}
-    out |= {f"{a} {b}" for a, b in zip(squeezed, squeezed[1:]) if (a, b) not in ((UNKNOWN, NUMBER), (NUMBER, UNKNOWN))}
-    out |= {f"{a} {b} {c}" for a, b, c in zip(squeezed, squeezed[1:], squeezed[2:])}
-    return out
-
-
-class Scorer:
-    """Softmax regression over sentence features, fitted by full-batch gradient steps from zero; deterministic."""
-
-    def __init__(self, rows: list[tuple[set[str], int]], ridge: float = 0.02, steps: int = 400, rate: float = 1.5):
-        counts = Counter(f for x, _ in rows for f in x)
-        self.column = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= 2))}
-        x = np.zeros((len(rows), len(self.column) + 1))
-        for r, (found, _) in enumerate(rows):
-            cols = [self.column[f] for f in found if f in self.column]
-            x[r, cols] = 1 / math.sqrt(max(len(found), FEWEST_FEATURES))
-            x[r, -1] = 1
-        y = np.eye(len(CLASSES))[[c for _, c in rows]]
-        self.w = np.zeros((x.shape[1], len(CLASSES)))
-        for _ in range(steps):
-            p = self._softmax(x @ self.w)
-            self.w -= rate * (x.T @ (p - y) + ridge * np.r_[self.w[:-1], np.zeros((1, len(CLASSES)))]) / max(len(rows), 1)
-        seen = Counter(f for x, _ in rows for f in x if " " not in f)
-        common = {f for f, n in seen.items() if n > COMMON_SHARE * len(rows)}
-        lean = self.w[:-1, 1:].max(1) - self.w[:-1, 0]
-        #: One word, the rarest, of every sequence that speaks for a class; a sentence without any of them is not scored.
-        self.telling: set[str] = set()
-        for f, i in self.column.items():
-            own = [w for w in f.split() if w not in (UNKNOWN, NUMBER)]
-            if 0 < lean[i] < LEAST_LEAN:
-                self.w[i] = 0
-            elif lean[i] > 0 and f[0] != "=" and not all(w in common for w in own):
-                self.telling.add(min(own, key=lambda w: (seen[w], w)))
-        self.prior = 1.0 - float(self._softmax(self.w[-1])[0])
-
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=-1, keepdims=True))
-        return e / e.sum(axis=-1, keepdims=True)
-
-    def __call__(self, found: set[str], cues: list[float]) -> np.ndarray:
-        cols = [self.column[f] for f in found if f in self.column]
-        z = self.w[-1] + (self.w[cols].sum(0) / math.sqrt(max(len(found), FEWEST_FEATURES)) if cols else 0)
-        return self._softmax(z + cues)
-
-
-#: What threats, contempt for groups, explicit scenes, and reports or literal uses look like on restored
-#: words in English, French, German and Spanish; a match adds CUE_WEIGHT to the class, NEUTRAL_WEIGHT for clean.
-CUES: dict[str, tuple[str, ...]] = {
-    "clean": (
-        r"\b(?:the word|the term|das wort|le mot|la palabra|el termino|der begriff) (?:<q> )?\w+",
-        r"\b(?:pamphlet|propaganda|historians?|moderators?|tribunal|gericht|court|flugblatt|tract|panfleto)\b.*\b(?:claimed|condemned|removed|worst|condamne|condeno|verurteilte|traitait|llamaba|bezeichnete)\b",
-        r"\b(?:stupid|rotten|useless|worthless|pathetic|miserable|disgusting|brainless|damn|bloody|awful) (?:weather|bicycle|bike|car|computer|printer|phone|bus|train|traffic|rain|machine|software|code|job|day|week|exam|game)\b",
-        r"\bidiot s (?:dream|guide)\b|\bkill the (?:process|server|job|thread|task|lights?|engine)\b|\b(?:drop|empty|open) the trash\b",
-        r"\b(?:rats?|cockroach\w*|vermin|ungeziefer|vermine|alimanas|parasit\w+)\b.* (?:that|which|die|qui|que) (?:damage|eat|carry|spread|destroy|infest|infect)\w*",
-        r"\bthe (?:pig|clown|parasite|rat|dog|cow|snake|worm)s? (?:and|fed|left|ate|ran|is|was|in|on|of|near)\b",
-        r"\bnaked eye\b|\bnacktem auge\b|\bl oeil nu\b|\bsimple vista\b|\bburned down in an accident\b|\bfight this disease\b|\bnobody may be\b|\bmay be refused\b",
-        r"\b(?:cancer|screening|anatomy|fresco|sculpture|painters?|reproduction|contraception|puberty|rash|doctor|clinic|patients?|biology|without a single kiss)\b",
-    ),
-    "abusive": (
-        r"\b(?:break|smash|crush|cut|rip|knock|burn|bash)(?: \w+){0,2} your (?:neck|teeth|arms?|legs?|jaw|face|bones?|fingers?|skull|head|nose|knees?|house)\b",
-        r"\byou will (?:leave|walk|go)(?: \w+){0,2} without your\b|\bstones in your (?:coat|pockets?|shoes)\b|\bi have your address\b|\bknow where you live\b|\bbringing a (?:hammer|knife|gun|bat)\b",
-        r"\b(?:if|until|when) you (?:rot|vanish\w*|died|drop dead|disappear\w*|were dead)\b|\bhope you die\b|\bkill yourself\b|\bdrop dead\b",
-        r"\bt[e ] ?(?:casse|brise|pete|creve)\w* (?:les|la|le|ta|tes) \w+|\bte (?:rompo|parto|quiebro|reviento|mato|rompere|partire)\b",
-        r"\b(?:breche|schlage|haue|zertrummere)(?: \w+){0,2} dir (?:die|den|das|alle|jeden)\b|\bdir (?:die|alle) (?:knochen|zahne|beine) \w+",
-        r"\bashamed of having raised\b|\bwho let this\b|\bferme la espece de\b|\bcallate pedazo de\b|\bhalt die klappe du\b|\bcant even read\b|\bget lost\b",
-        r"\bpersonne ne veut de toi\b|\bnadie te quiere\b|\bwill dich keiner\b|\bnobody (?:asked|wants|likes|loves) you\b",
-    ),
-    "hateful": (
-        r"\bno place (?:beside|among|amongst|near|with) (?:decent|honest|normal|good|civilized) people\b|\bback where they (?:crawled|came)\b|\bthe only good \w+ is\b",
-        r"\block up your\b.*\bcount your children\b|\bif your neighbour is \w+ lock\b|\bbreed like\b|\bliars and thieves\b|\bby birth\b",
-        r"\b(?:should|must|ought to) be (?:thrown out|deported|exterminated|gassed|wiped out|driven out|removed from)\b|\bshould ever be allowed\b",
-        r"\baucune? \w+ ne merite de vivre\b|\bmerite de vivre parmi nous\b|\bning\w+ \w+ merece vivir\b|\bmerece vivir entre nosotros\b|\bkeine? \w+ hat das recht\b.*\bleben\b|\bunter uns zu leben\b|\bdeserves? to live among us\b",
-        r"\bbetter of+ if not a single \w+ (?:were|was)\b|\bclean before the \w+ came\b|\bburn down the \w+ quarter\b|\bgehoren aus \w+ verjagt\b|\bil faut les chasser\b|\bhay que echarlos\b",
-    ),
-    "sexual": (
-        r"\b(?:unbuttoned|tore open|slid off|pulled off) (?:her|his) (?:blouse|shirt|dress|trousers|pants|bra|skirt)\b|\b(?:kissed|licked|sucked|stroked|caressed) (?:her|his) (?:bare |naked )?(?:breasts?|thighs?|nipples?|neck|body)\b",
-        r"\bmade love (?:against|on|in|all)\b|\bnails deep in (?:his|her) back\b|\bxxx\b|\bexplicit over eighteen\b|\badults only\b|\bmoaned with pleasure\b|\bbegging for more\b",
-        r"\bvideos? (?:erotiques?|eroticos?|pornos?)\b|\bnon censure\w*\b|\bsin censura\b|\bunzensiert\w*\b|\bnackt(?:videos?|bilder|fotos)\b|\breserve\w* aux adultes\b|\bnur fur erwachsene\b|\bsolo adultos\b",
-        r"\bgemissait de plaisir\b|\bstohnte vor lust\b|\bgemia de placer\b",
-    ),
-}
-CUE_WEIGHT, NEUTRAL_WEIGHT = 3.0, 5.0
-#: Words of the cues that are too common to tell anything; every alternative of a cue has another one.
-FUNCTION_WORDS = set("the of to in a an and you your if will be no with who this on all they were was not i have when until is are in at or s deep him his her us our that der die das den dir du dich te ne les la le las los se hat von zu zum un una ta tes et y ich unter nur fur hay que il faut aus for by from must open near where only entre read cant it there de without off".split())
-
-
-def _start(word: str) -> str:
-    return word[:4]
+class Lexicon:
+    """What a word may be known by: itself, the category of a listed term that it is or extends, or its beginning. Each is a row of counts."""
 
+    def __init__(self, samples: list[tuple[str, str]], terms: list[tuple[str, str, int | None]]):
+        listed = [(plain_letters(t).strip(), c.strip().lower()) for t, c, _ in terms if t and t.strip() and c and c.strip().lower() in CLASSES[1:]]
+        found = Counter(w for text, _ in samples for w in set(PIECES.findall(plain_letters(text))))
+        self.terms = dict(sorted(listed))
+        #: Worth restoring: words of several samples and of the listed terms.
+        self.known = {w for w, n in found.items() if n >= 2 and not w.isdigit()} | {w for t, _ in listed for w in PIECES.findall(t) if not w.isdigit()}
+        own = sorted({w for w in found if not w.isdigit()} | self.known)
+        self.row = {key: i for i, key in enumerate([NUMBER, *own, *(f"={c}" for c in CLASSES[1:]), *sorted({f"~{w[:STEM]}" for w in own if len(w) >= STEM})])}
 
-class Spelled(NamedTuple):
-    """Letters that a part of a pattern matches: without a break, before its first, after its last, and between breaks."""
+    def category(self, word: str) -> str | None:
+        """Category of the listed term that the word is, with an ending of up to half its length."""
+        for n in range(len(word), max(2, math.ceil(len(word) / 1.5) - 1), -1):
+            if word[:n] in self.terms and len(word) - n <= max(1, n // 2):
+                return self.terms[word[:n]]
+        return None
 
-    through: frozenset[str]
-    head: frozenset[str]
-    tail: frozenset[str]
-    within: frozenset[str]
+    def rows(self, word: str) -> tuple[int, int, int]:
+        """Rows of the word itself, of its category and of its beginning; -1 for none."""
+        if word.isdigit():
+            return self.row[NUMBER], -1, -1
+        category = self.category(word)
+        return self.row.get(word, -1), self.row[f"={category}"] if category else -1, self.row.get(f"~{word[:STEM]}", -1) if len(word) >= STEM else -1
 
 
-_NOTHING = frozenset()
-_BREAK = Spelled(_NOTHING, frozenset({""}), frozenset({""}), _NOTHING)
-
-
-def _spelled(pattern: Iterable) -> Spelled:
-    """All forms of a parsed pattern's words, also those of an optional letter; what is not a given letter breaks a word."""
-    out = Spelled(frozenset({""}), _NOTHING, _NOTHING, _NOTHING)
-    for kind, value in pattern:
-        if kind is _parser.LITERAL and chr(value) in LETTERS:
-            one = Spelled(frozenset({chr(value)}), _NOTHING, _NOTHING, _NOTHING)
-        elif kind is _parser.SUBPATTERN:
-            one = _spelled(value[-1])
-        elif kind is _parser.BRANCH or kind is _parser.IN:
-            one = Spelled(*map(frozenset().union, *(_spelled(x if kind is _parser.BRANCH else [x]) for x in (value[1] if kind is _parser.BRANCH else value))))
-        elif kind is _parser.MAX_REPEAT:
-            least, most, inner = value
-            one = _spelled(inner)
-            once = one.through | ({""} if not least else _NOTHING)
-            twice = {a + b for a in one.through for b in one.through} if most > 1 else _NOTHING
-            one = one._replace(through=once | twice, within=one.within | ({a + b for a in one.tail for b in one.head} if most > 1 else _NOTHING))
-        else:
-            one = _BREAK
-        out = Spelled(
-            frozenset(a + b for a in out.through for b in one.through),
-            out.head | {a + b for a in out.through for b in one.head},
-            one.tail | {a + b for a in out.tail for b in one.through},
-            out.within | one.within | {a + b for a in out.tail for b in one.head},
-        )
-    return out
+class WordRows(dict):
+    """word -> ``Lexicon.rows``, filled as words turn up."""
 
-
-def _literals(pattern: str) -> set[str]:
-    """Words that a pattern can match, and the pieces of which they are put together there."""
-    pieces = re.findall(r"[a-z]+", re.sub(r"\\[a-z]", " ", pattern))
-    return set().union(pieces, *_spelled(_parser.parse(pattern))) - {""}
-
-
-def _weight(c: str) -> float:
-    return NEUTRAL_WEIGHT if c == "clean" else CUE_WEIGHT
-
-
-#: Number, class and pattern of each cue; and the cues that may match where a word begins so.
-_CUES = [(i, CLASSES.index(c), _weight(c), re.compile(x)) for i, (c, x) in enumerate((c, x) for c in CLASSES for x in CUES[c])]
-_BY_START: dict[str, list[int]] = {}
-for _i, _x in enumerate(x for c in CLASSES for x in CUES[c]):
-    for _s in sorted({_start(w) for w in _literals(_x) - FUNCTION_WORDS}):
-        _BY_START.setdefault(_s, []).append(_i)
-
-
-def cue_words(classes: Iterable[str] = CLASSES) -> tuple[set[str], tuple[str, ...]]:
-    """Words of the cues, and the beginnings that they ask of others."""
-    open_ended = [stem for c in classes for x in CUES[c] for stem in re.findall(r"([a-z]{4,})\\w", x.replace(r"\b", " "))]
-    return {w for c in classes for x in CUES[c] for w in _literals(x)}, tuple(sorted(set(open_ended)))
-
-
-def cue_scores(marks: list[str]) -> list[float]:
-    """Weights of the cues that match, by class."""
-    out = [0.0] * len(CLASSES)
-    starts = _BY_START.keys() & set(map(_start, marks))
-    if starts:
-        text = " ".join(marks)
-        for i in {i for s in starts for i in _BY_START[s]}:
-            _, c, weight, pattern = _CUES[i]
-            if pattern.search(text) is not None:
-                out[c] += weight
-    return out
-
-
-class Alert(dict):
-    """word -> whether a sentence that holds it has to be scored."""
-
-    def __init__(self, telling: set[str], stems: tuple[str, ...]):
+    def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.telling, self.stems = telling, stems
+        self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> bool:
-        value = word in self.telling or word.startswith(self.stems)
+    def __missing__(self, word: str) -> tuple[int, int, int]:
+        value = self.lexicon.rows(word)
         if len(word) <= LONGEST_KEPT:
             if len(self) > MEMO_CHUNKS:
                 self.clear()
@@ -510,105 +405,132 @@ class Alert(dict):
         return value
 
 
+class Scorer:
+    """Log odds of passages. A class's words mix with those of the corpus; the corpus alone, or the clean class, has to explain a passage worse.
+
+    ``background``: for each row of the lexicon how often it was met in the corpus, of ``total`` words.
+    """
+
+    def __init__(self, lexicon: Lexicon, rows: list[tuple[list[str], int]], background: np.ndarray, total: int):
+        counts = np.zeros((len(lexicon.row), len(CLASSES)))
+        words = np.zeros(len(CLASSES))
+        for found, label in rows:
+            words[label] += len(found)
+            for w in found:
+                for r in lexicon.rows(w):
+                    if r >= 0:
+                        counts[r, label] += 1
+        at_large = ((background + PSEUDO_COUNT) / (total + PSEUDO_COUNT * WORD_TYPES))[:, None]
+        ratio = (counts + at_large) / (words + 1) / at_large
+        seen = counts.sum(axis=1)
+        for key, r in lexicon.row.items():  # a rare word of a listed category says at least what its category does
+            if key[0] not in "=~<" and seen[r] < 3 and (category := lexicon.category(key)):
+                ratio[r] = np.maximum(ratio[r], ratio[lexicon.row[f"={category}"]]) if seen[r] else ratio[lexicon.row[f"={category}"]]
+        ratio[[r for key, r in lexicon.row.items() if seen[r] < (2 if key[0] == "~" else 1) and not lexicon.category(key)]] = 0
+        self.usable = ratio.any(axis=1)
+        known = np.concatenate([ratio, np.zeros((1, len(CLASSES)))])  # the last row is that of other words
+        parts = np.array(PARTS)[:, None]
+        #: (row, part, class): what a word adds to the log likelihood over that of the corpus.
+        self.gain = np.log(parts * known[:, None, :] + 1 - parts)
+        self.other = len(ratio)
+        self.prior = math.log(PRIOR / (1 - PRIOR))
+
+    def index(self, rows: tuple[int, int, int]) -> int:
+        """The row that a word is scored by."""
+        return next((r for r in rows if r >= 0 and self.usable[r]), self.other)
+
+    def __call__(self, index: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and classes of the passages from ``start`` to ``end`` of a text of words scored by the rows ``index``."""
+        upto = np.concatenate([np.zeros((1, *self.gain.shape[1:])), np.cumsum(self.gain[index], axis=0)])
+        z = (upto[end] - upto[start]).max(axis=1)
+        offending = z[:, 1:].max(axis=1)
+        odds = offending + np.log(np.exp(z[:, 1:] - offending[:, None]).sum(axis=1)) - np.logaddexp(z[:, 0], 0.0)
+        return 1 / (1 + np.exp(-np.clip(odds * INDEPENDENCE + self.prior, -500, 500))), z[:, 1:].argmax(axis=1) + 1
+
+
+def passages(length: int) -> list[tuple[int, int]]:
+    """Parts of a sentence of so many words that are scored: the whole, or windows that overlap by half."""
+    if length <= WINDOW + 2:
+        return [(0, length)]
+    return [(i, min(i + WINDOW, length)) for i in range(0, length - WINDOW // 2, WINDOW // 2)]
+
+
 class Moderator:
     """Everything a worker needs to score a text."""
 
-    def __init__(self, trigrams: np.ndarray, samples: list[tuple[str, str]], terms: list[tuple[str, str, int | None]]):
-        listed = [(plain_letters(t).strip(), c.strip().lower(), int(s or 1)) for t, c, s in terms if t and t.strip() and c]
-        self.terms = {t: (c, s) for t, c, s in listed}
-        counts = Counter(w for text, _ in samples for w in set(PIECES.findall(plain_letters(text))))
-        known = {w for w, n in counts.items() if n >= 2 and not w.isdigit()} | {w for t, _, _ in listed for w in PIECES.findall(t)}
-        cued, self.stems = cue_words()
-        known |= {w for w in cued if len(w) >= 4}  # worth restoring, too
-        self.kept = known | cued | {"<q>"}
-        own = count_trigrams([text for text, _ in samples] + [t for t, _, _ in listed])
+    def __init__(self, trigrams: np.ndarray, samples: list[tuple[str, str]], terms: list[tuple[str, str, int | None]], background: np.ndarray | None = None, total: int = 0):
+        lexicon = Lexicon(samples, terms)
+        own = count_trigrams([text for text, _ in samples] + [plain_letters(t) for t, _, _ in terms if t])
         weight = max(1, int(trigrams.sum() // max(own.sum(), 1)) // 4)  # the labelled words weigh a quarter of the corpus
-        self.restorer = Restorer(CharacterModel(trigrams + own * weight), known)
-        rows = [(self._features([m for s in self.restorer.sentences(text) for m in self._marks(s)]), CLASSES.index(label)) for text, label in samples if label in CLASSES]
-        self.scorer = Scorer(rows)
-        self.memo: dict[str, tuple[float, str]] = {}
-        speaking, stems = cue_words(CLASSES[1:])
-        self.alert = Alert(self.scorer.telling | (speaking - FUNCTION_WORDS) | {t for t in self.terms}, stems)
-
-    def _mark(self, word: str) -> str:
-        if word in self.kept or word.startswith(self.stems):
-            return word
-        return NUMBER if word.isdigit() else UNKNOWN
-
-    def _marks(self, sentence: list[str]) -> list[str]:
-        return [w if w in self.kept else self._mark(w) for w in sentence]
-
-    def _features(self, marks: list[str]) -> set[str]:
-        known = self.restorer.known
-        return features([m if m in known or m in ("<q>", NUMBER) else UNKNOWN for m in marks], self.terms)
-
-    def _judge(self, marks: list[str]) -> tuple[float, str]:
-        """Score and class of a marked sentence: of the whole or of the worst of its windows."""
-        best = self.scorer(self._features(marks), cue_scores(marks))
-        if len(marks) > WINDOW + 2:
-            for i in range(0, len(marks) - WINDOW // 2, WINDOW // 2):
-                part, near = marks[i : i + WINDOW], marks[max(0, i - AROUND) : i + WINDOW + AROUND]
-                cues = cue_scores(part)
-                cues[0] = cue_scores(near)[0]
-                best = min(best, self.scorer(self._features(part), cues), key=lambda p: p[0])
-        return 1.0 - float(best[0]), CLASSES[1 + int(best[1:].argmax())]
-
-    def sentence(self, sentence: list[str]) -> tuple[float, str]:
-        """Score and class. A sentence without a listed term, a telling word or a word of a cue has the prior score."""
-        if not any(map(self.alert.__getitem__, sentence)):
-            return self.scorer.prior, CLASSES[1]
-        marks = self._marks(sentence)
-        text = " ".join(marks)
-        judged = self.memo.get(text)
-        if judged is None:
-            judged = self._judge(marks)
-            if len(marks) <= LONGEST_KEPT:
-                if len(self.memo) > MEMO_SENTENCES:
-                    self.memo.clear()
-                self.memo[text] = judged
-        return judged
+        self.restorer = Restorer(CharacterModel(trigrams + own * weight), lexicon.known)
+        rows = [([w for s in self.restorer.sentences(text) for w in s], CLASSES.index(label)) for text, label in samples if label in CLASSES]
+        self.scorer = Scorer(lexicon, rows, np.zeros(len(lexicon.row)) if background is None else background, total)
+        self.rows = WordRows(lexicon)
 
     def text(self, text: str | None) -> tuple[float, str, int]:
-        """Score and class of the worst sentence, and the number of sentences at or above the threshold."""
-        worst, label, over = 0.0, "clean", 0
-        for sentence in self.restorer.sentences(text):
-            score, kind = self.sentence(sentence)
-            over += score >= THRESHOLD
-            if score > worst:
-                worst, label = score, kind
-        return worst, label, over
-
-
-def corpus_trigrams(documents: DataFrame) -> np.ndarray:
-    """Letter trigrams of all texts: each partition counts on its own, at most 19 683 sums reach the driver."""
+        """Score and class of the worst passage, and the number of sentences at or above the threshold."""
+        index, start, end, sentence = [], [], [], []
+        for n, found in enumerate(self.restorer.sentences(text)):
+            for lo, hi in passages(len(found)):
+                start.append(len(index) + lo)
+                end.append(len(index) + hi)
+                sentence.append(n)
+            index += [self.scorer.index(self.rows[w]) for w in found]
+        if not index:
+            return 0.0, "clean", 0
+        score, label = self.scorer(np.array(index), np.array(start), np.array(end))
+        worst = int(score.argmax())
+        return float(score[worst]), CLASSES[label[worst]], len({sentence[i] for i in np.flatnonzero(score >= THRESHOLD)})
+
+
+def corpus_counts(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, int]:
+    """Letter trigrams of all texts, how often each row of the lexicon is met in them, and their words.
+
+    Each partition counts on its own; the sums that reach the driver are as many as there are trigrams and rows.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE**3, np.int64)
+        rows = WordRows(shared.value)
+        size = SIZE**3 + len(shared.value.row) + 1
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            total += count_trigrams(x.as_py() for x in batch.column("text"))
+            texts = [x.as_py() for x in batch.column("text")]
+            total[: SIZE**3] += count_trigrams(texts)
+            met: Counter[str] = Counter()
+            for text in texts:
+                if text:
+                    met.update(PIECES.findall(plain_letters(text)))
+            for word, n in met.items():
+                total[-1] += n
+                for r in rows[word]:
+                    if r >= 0:
+                        total[SIZE**3 + r] += n
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["code", "n"])
 
-    total = np.zeros(SIZE**3, np.int64)
+    total = np.zeros(SIZE**3 + len(lexicon.row) + 1, np.int64)
     for row in documents.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
         total[row["code"]] = row["n"]
-    return total
+    return total[: SIZE**3], total[SIZE**3 : -1], int(total[-1])
 
 
 def moderate(documents: DataFrame, samples: DataFrame, terms: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, score in [0, 1], category, passages (sentences at or above THRESHOLD).
 
     Null, blank and wordless texts score 0 as ``clean``; repeated rows are scored alike; texts of any length are read
-    whole; a null source becomes ``unknown``; terms without text or category and samples without text or with an
-    unknown label are left out; a list of more than MOST_TERMS terms is refused. The model is fitted on at most MOST_SAMPLES labelled sentences; the character model
-    counts all documents.
+    whole; a null source becomes ``unknown``; terms without text or with an unknown category and samples without text or
+    with an unknown label are left out; a list of more than MOST_TERMS terms is refused. The model is fitted on at most
+    MOST_SAMPLES labelled sentences; letters and words are counted over all documents.
     """
     spark = documents.sparkSession
     labelled = samples.where("text is not null and label is not null").orderBy("sample_id", "text").limit(MOST_SAMPLES).select("text", "label").collect()
     listed = terms.select("term", "category", "severity").distinct().orderBy("term", "category", "severity").limit(MOST_TERMS + 1).collect()
     if len(listed) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms are listed")
-    moderator = Moderator(corpus_trigrams(documents), [(r[0], r[1].strip().lower()) for r in labelled], [tuple(r) for r in listed])
+    fitted, terms_ = [(r[0], r[1].strip().lower()) for r in labelled], [tuple(r) for r in listed]
+    trigrams, background, total = corpus_counts(documents, Lexicon(fitted, terms_))
+    moderator = Moderator(trigrams, fitted, terms_, background, total)
     shared = spark.sparkContext.broadcast(moderator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
