@@ -77,3 +77,58 @@ def test_texts_full_of_one_sign_take_no_longer(sign):
     pairs.solution_defects(Q, sign * (200_000 // len(sign)) + "x")
     pairs.call_defects(ASK, sign * (200_000 // len(sign)) + "x")
     assert time.time() - began < 8
+
+
+@pytest.mark.parametrize(
+    ("answer", "defects"),
+    [
+        ("The answer is 5. But wait, let us check it. \\frac{1}{", ["truncated"]), ("We find that \\boxed{4}. Next, we must consider the second ca", ["truncated"]), ("The result is 7. It follows from the", ["truncated"]), ("We have $x = 3$. The answer is 3. ```python\nprint(", ["truncated"]),
+        ("This completes the proof.", []), ("As n is even, so is its square. Q.E.D.", []), ("Therefore x = 5.", []), ("It costs $5 and the answer is 5.", []), ("The answer is 12 (see above).", []),
+        ("I cannot help with the equation.", ["refusal"]), ("We are not permitted to solve exams.", ["refusal"]), ("Answering would violate our usage policy.", ["refusal"]), ("Ich kann Ihnen dabei leider nicht helfen.", ["refusal"]), ("Je ne peux pas résoudre cet exercice.", ["refusal"]), ("Non posso risolvere questo problema.", ["refusal"]),
+        ("I cannot see a shorter way, but the answer is 12.", []), ("We can't help but note the symmetry. Hence the sum is 12.", []),
+    ],
+)
+def test_rules_for_solutions(answer, defects):
+    question = "How many are there in the box, and why?"
+    assert [d for d in pairs.solution_defects(question, answer) if d != "other_language"] == defects
+
+
+@pytest.mark.parametrize(
+    ("answer", "defects"),
+    [
+        ('[book_flight(city="Rome")]', []), ('book_flight(city="Rome", note="It\'s (not) late")', []), ('book_flight(city="Ro', ["truncated"]), ('[book_flight(city="Rome"), book', ["truncated"]),
+        (f"<tool_call>\n{CALL}\n</tool_call>", []), (f"{CALL}\n{CALL}", []), (f"Sure: [{CALL}]", []), ("[{'name': 'f', 'arguments': {'x': 'it''s'}}]", []),
+        ("[{error: I am not able to help with that request}]", ["truncated"]), ('[{"error": "I am not able to help with that request", }]', ["refusal"]),
+    ],
+)
+def test_notations_of_calls(answer, defects):
+    assert pairs.call_defects(ASK, answer) == defects
+
+
+def test_edits_against_the_table_of_distances():
+    import random
+
+    def full(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    draw = random.Random(1)
+    for _ in range(2_000):
+        a, b = ([draw.choice("abc") for _ in range(draw.randint(0, 9))] for _ in range(2))
+        most = draw.randint(0, 6)
+        assert pairs._distance(a, b, most) == min(full(a, b), most + 1)
+
+
+def test_models_of_letters_tell_a_language_that_few_function_words_do(spark):
+    """Trained on the table's own texts; a question without function words is taken for the language it is spelled in."""
+    german = "Der Bauer geht heute mit seinem Hund in den Wald, weil die Sonne scheint und das Wetter schön ist, sagte Nachbarin Nummer"
+    english = "The farmer walks through the forest with his dog today because the sun is shining and the weather is fine, said neighbour number"
+    rows = [("t", i, "solution", f"{text} {i}?", f"{text} {i}.") for i in range(30) for text in (german, english)]
+    speech = pairs.train_languages(spark.createDataFrame(rows, "source_table string, row_id long, kind string, question string, answer string"))
+    assert speech.trained[[pairs.LANGUAGES.index("en"), pairs.LANGUAGES.index("de")]].all() and not speech.trained[pairs.LANGUAGES.index("nl")]
+    assert pairs.other_language("Wald, Wetter, Sonne, Nachbarin", "The weather and the sun in the forest", speech)
+    assert not pairs.other_language("Wald, Wetter, Sonne, Nachbarin", "Der Wald und das Wetter in der Sonne", speech)
