@@ -30,14 +30,14 @@ DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 PLACEHOLDERS = {"na", "none", "null", "nil", "nan", "tbd", "todo", "empty", "undefined", "cut", "json", "text", "answer", "solution", "blank", "missing"}
 FILLERS = {"hmm", "hm", "um", "uh", "well", "okay", "ok", "so", "hello", "hi", "sorry", "thanks", "thank", "you"}
 
-#: A copy may differ from the question in this share of its words, one at least.
-TRIFLING = 0.2
+#: A copy may differ from the question in this share of its words, and have this share of others, one at least.
+TRIFLING, FOREIGN = 0.3, 0.1
 #: A text speaks another language if it fits it better by this many nats, of which a function word counts so many.
 CLEARLY, PER_FUNCTION_WORD = 12.0, 4.0
 #: Function words that tell a text's language when the character models are trained.
 TELLING_WORDS = 3
 #: Letter triples that a language's model is trained on at least, before it is used.
-FEWEST_TRIPLES = 2_000
+FEWEST_TRIPLES = 50_000
 
 
 def _one_of(*alternatives: str) -> str:
@@ -53,7 +53,7 @@ _EN_TASK = _one_of("requests?", "questions?", "tasks?", "exercises?", "problems?
 REFUSALS = re.compile(
     "|".join(
     [
-        rf"\b{_EN_NOT} (?:\w+ly )?{_EN_ACT}\b(?! but)",
+        rf"\b{_EN_NOT} (?:\w+ly )?{_EN_ACT}\b(?! but\b)(?! bu?$)",
         r"\b(?:i|we)(?:'d| would)? (?:must |have to |need to |would like to |will |shall |respectfully |do )*(?:decline|refuse)\b",
         r"\b(?:i|we)(?:'d| would) rather not\b|\b(?:i|we) prefer not to\b|\bno can do\b",
         rf"\b(?:against|violat\w+|break\w*|breach\w*|contraven\w+|contrary to|conflicts? with){_SOME} {_EN_RULES}\b|\b{_EN_RULES}{_SOME} (?:do(?:es)? not|don'?t|doesn'?t|forbids?|prohibits?|prevents?)\b",
@@ -80,8 +80,10 @@ FUNCTION_WORDS = {
     "nl": "de het een en of is zijn was waren wordt worden te om op in met zonder voor van naar door over onder tussen bij uit aan niet geen er ook als dan dat die dit deze wij we je jij hij zij ik u hun haar hoeveel wat wie waar wanneer nog maar want dus heeft hebben had",
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
-_IS_FUNCTION_WORD = {lang: frozenset(w.split()) for lang, w in FUNCTION_WORDS.items()}
-_ANY_FUNCTION_WORD = frozenset().union(*_IS_FUNCTION_WORD.values())
+_ANY_FUNCTION_WORD: dict[str, list[int]] = {}
+for _i, _words in enumerate(FUNCTION_WORDS.values()):
+    for _w in set(_words.split()):
+        _ANY_FUNCTION_WORD.setdefault(_w, []).append(_i)
 
 #: Words that announce a result, on folded text, in Latin and other scripts; conclusions; and ends of proofs.
 RESULT_WORDS = r"(?:answer|result|solution|reponse|resultat|solution|antwort|ergebnis|losung|respuesta|resultado|solucion|risposta|risultato|resposta|ответ|результат|答案|结果)"
@@ -139,7 +141,7 @@ class Languages:
 
     @staticmethod
     def function_words(found: list[str]) -> np.ndarray:
-        return np.array([sum(w in vocabulary for w in found) for vocabulary in _IS_FUNCTION_WORD.values()])
+        return np.bincount([i for w in found for i in _ANY_FUNCTION_WORD.get(w, ())], minlength=len(LANGUAGES))
 
     def told(self, found: list[str]) -> int:
         """The language that a text's function words tell beyond doubt, or -1."""
@@ -225,12 +227,12 @@ def copies_question(question: str, answer: str) -> bool:
     if not asked or not said:
         return False
     known = set(asked)
-    most = max(1, int(TRIFLING * len(said)))
     foreign = [w for w in said if w not in known]
-    if len(foreign) > most or any(w.isdigit() for w in foreign):
+    if len(foreign) > max(1, int(FOREIGN * len(said))) or any(w.isdigit() for w in foreign):
         return False
     times = max(1, round(len(said) / len(asked)))
-    return _distance(said, asked * times, max(1, int(TRIFLING * len(asked) * times))) <= max(1, int(TRIFLING * len(asked) * times))
+    most = max(1, int(TRIFLING * len(asked) * times))
+    return _distance(said, asked * times, most) <= most
 
 
 def _nothing(found: list[str]) -> bool:
@@ -444,7 +446,7 @@ def call_defects(query: str | None, answers: str | None, speech: Languages = UNT
     if silent and not begun:
         return ["empty"]
     if not silent and not calls:
-        if copies_question(question, said):
+        if copies_question(question, said) and not cut:
             out.append("copies_question")
         if refuses(said) and not cut:
             out.append("refusal")

@@ -123,8 +123,9 @@ def test_edits_against_the_table_of_distances():
         assert pairs._distance(a, b, most) == min(full(a, b), most + 1)
 
 
-def test_models_of_letters_tell_a_language_that_few_function_words_do(spark):
+def test_models_of_letters_tell_a_language_that_few_function_words_do(spark, monkeypatch):
     """Trained on the table's own texts; a question without function words is taken for the language it is spelled in."""
+    monkeypatch.setattr(pairs, "FEWEST_TRIPLES", 2_000)
     german = "Der Bauer geht heute mit seinem Hund in den Wald, weil die Sonne scheint und das Wetter schön ist, sagte Nachbarin Nummer"
     english = "The farmer walks through the forest with his dog today because the sun is shining and the weather is fine, said neighbour number"
     rows = [("t", i, "solution", f"{text} {i}?", f"{text} {i}.") for i in range(30) for text in (german, english)]
