@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import leakage, mixing, moderation, neardup, packing, pairs, tokens
+from corpusmill.llm.oracles import ORACLES  # noqa: F401
 from corpusmill.session import materialise
 from corpusmill.sources.tables import table
 
@@ -94,4 +95,3 @@ def p7_source_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p2_selection, p2_shares, p3_found, p3_defects, p4_found, p4_groups, p5_windows, p5_fill, p6_found, p6_coverage, p7_found, p7_scores, p7_source_rates)}
-ORACLES: dict[str, str] = {}
