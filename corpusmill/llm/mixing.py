@@ -5,8 +5,9 @@ repeats, or a total of the caller's. A source whose target exceeds its size is u
 is an Efraimidis-Spirakis sample: records are ordered by exponential keys divided by their quality, and taken while
 their running size stays within what is left of the target.
 
-The running sum needs no global sort. Keys are mapped to (0, 1) and cut into ``buckets``; sizes are summed by bucket, a
-running sum over buckets finds the one in which the target ends, and only that bucket's records are ordered.
+The running sum needs no global sort. Keys are cut into buckets of equal ratio, so that whatever the qualities are a
+bucket holds a small part of a source; sizes are summed by bucket, a running sum over buckets finds the one in which the
+target ends, and only that bucket's records are ordered.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from corpusmill.llm.tokens import token_count
 from corpusmill.operators.paths import common_path
 from corpusmill.session import materialise
 
-BUCKETS = 65_536
+#: Buckets for each factor e between keys: no bucket holds more than about 1 in 2.7 x this of the records of one quality.
+BUCKETS = 4_096
 LEAST_QUALITY = 0.05
 
 
@@ -48,20 +50,21 @@ def quality(text: Column) -> Column:
 
 
 def place_records(records: DataFrame, folders: DataFrame) -> DataFrame:
-    """Records (id, size, quality, folder) under every phase whose entry's folder is above them; the deepest folder of a phase wins.
+    """Records (id, size, quality, folder) under every phase whose entry's folder is above them; the deepest folder of a phase wins, then the first name.
 
+    Each row is placed on its own: an entry does not take what lies under another of its phase that is nearer to it.
     Records without size or path are left out: they add nothing to any total.
     """
+    nearer = F.expr("b.phase = a.phase and startswith(b.folder, a.folder) and (b.folder <> a.folder or b.name < a.name)")
+    others = folders.alias("a").join(folders.alias("b"), nearer).groupBy("a.phase", "a.name", "a.folder").agg(F.collect_set("b.folder").alias("nearer"))
+    entries_ = folders.join(others, ["phase", "name", "folder"], "left")
     parts = F.split("folder", "/")  # an empty part at either end
     upward = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 2, n), "/"), F.lit("/")))
-    sized = records.where("size > 0 and folder is not null and folder <> '//'").select("id", "size", "quality", F.explode(upward).alias("folder"))
+    sized = records.where("size > 0 and folder is not null and folder <> '//'").select("id", "size", "quality", F.col("folder").alias("whole"), F.explode(upward).alias("folder"))
     # The entries are configuration: a row for each phase, name and folder.
-    joined = sized.join(F.broadcast(folders), "folder")
-    claims = Window.partitionBy("phase", "id").orderBy(F.length("folder").desc(), "name")
-    nested = folders.alias("a").join(folders.alias("b"), F.expr("a.phase = b.phase and (a.name <> b.name or a.folder <> b.folder) and startswith(a.folder, b.folder)")).limit(1).count()
-    if nested:
-        joined = joined.withColumn("nth", F.row_number().over(claims)).where("nth = 1").drop("nth")
-    return joined.select("phase", "name", "id", "size", "quality")
+    joined = sized.join(F.broadcast(entries_), "folder")
+    mine = F.col("nearer").isNull() | ~F.exists("nearer", lambda f: F.startswith(F.col("whole"), f))
+    return joined.where(mine).select("phase", "name", "id", "size", "quality")
 
 
 def plan_targets(placed: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
@@ -84,15 +87,14 @@ def mix(records: DataFrame, config: DataFrame, total: int | None = None, seed: i
     """(selection, plan). Selection: phase, name, id, size, uses; plan: a row per phase and name, from ``plan_targets``.
 
     A record is taken in the last, partial epoch if more than half of it lies within the target, so a source misses its
-    share by half a record at most. Ties of keys are broken by id; rows repeated under one id are drawn each on their
-    own. Empty tables give an empty selection.
+    share by half a record at most. Ties of keys are broken by a second hash; rows repeated under one id are drawn each
+    on their own. Empty tables give an empty selection.
     """
     folders = entries(config)
     targets = names(folders)
     placed = place_records(records, folders)
     unit = (F.xxhash64(F.lit(seed), "phase", "name", "id").bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(0.5)) / F.lit(float(1 << 53))
-    # 1 - exp(-key) of the exponential key -ln(u) / quality: the same order, in (0, 1).
-    placed = placed.withColumn("key", 1 - F.pow(unit, 1 / F.col("quality"))).withColumn("bucket", F.least(F.floor(F.col("key") * buckets), F.lit(buckets - 1)).cast("int"))
+    placed = placed.withColumn("key", -F.log(unit) / F.col("quality")).withColumn("bucket", F.floor(F.log("key") * buckets).cast("int"))
     placed = materialise(placed.drop("quality"))
     plan = materialise(plan_targets(placed, targets, total))
     wanted = F.broadcast(plan.where("target > 0").select("phase", "name", "epochs", "rest"))  # as many rows as the configuration
@@ -102,7 +104,8 @@ def mix(records: DataFrame, config: DataFrame, total: int | None = None, seed: i
     edge = edge.select("phase", "name", F.col("bucket").alias("last"), "before")
     chosen = placed.join(wanted, ["phase", "name"]).join(F.broadcast(edge), ["phase", "name"], "left")
     certain = chosen.where("last is null or bucket <> last").withColumn("extra", F.when(F.col("bucket") < F.col("last"), 1).otherwise(0))
-    order = Window.partitionBy("phase", "name").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tie = F.xxhash64(F.lit(seed + 1), "phase", "name", "id")
+    order = Window.partitionBy("phase", "name").orderBy("key", tie, "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     split = chosen.where("bucket = last").withColumn("upto", F.sum("size").over(order))
     split = split.withColumn("extra", F.when(F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).drop("upto")
     picked = certain.unionByName(split).withColumn("uses", F.col("epochs") + F.col("extra")).where("uses > 0")

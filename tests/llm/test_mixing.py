@@ -82,3 +82,28 @@ def test_document_records(spark):
     if out is None:
         pytest.skip("no vocabulary files here")
     assert out[1]["quality"] == 0.5 and out[2]["quality"] == mixing.LEAST_QUALITY and out[2]["size"] == 0 and out[3]["size"] == 0
+
+
+def test_rows_repeated_under_one_id_stay_with_nested_folders(spark):
+    """Each row on its own, whether or not an entry lies under another."""
+    records = spark.createDataFrame([(1, 10, 1.0, "/r/a/", "n"), (1, 10, 1.0, "/r/a/", "n"), (2, 10, 1.0, "/r/a/deep/", "n"), (2, 10, 1.0, "/r/a/deep/", "n")], RECORDS)
+    for more, expected in (((), [("all", 1), ("all", 1), ("all", 2), ("all", 2)]), ((("P", "deep", "r/a/deep", 1.0, 1), ("P", "also deep", "r/a/deep", 1.0, 1)), [("all", 1), ("all", 1), ("also deep", 2), ("also deep", 2)])):
+        placed = mixing.place_records(records, mixing.entries(config(spark, ("P", "all", "r/a", 1.0, 1), *more)))
+        assert sorted((r["name"], r["id"]) for r in placed.collect()) == expected
+
+
+@pytest.mark.parametrize("quality", [0.05, 0.2, 1.0])
+def test_no_bucket_holds_much_of_a_source(spark, quality):
+    from pyspark.sql import functions as F
+
+    unit = (F.xxhash64(F.lit(0), "id").bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(0.5)) / F.lit(float(1 << 53))
+    keys = spark.range(200_000).withColumn("bucket", F.floor(F.log(-F.log(unit) / F.lit(quality)) * mixing.BUCKETS))
+    most = keys.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert most < 0.001 * 200_000
+
+
+def test_what_is_chosen_among_bad_records_has_no_order_of_ids(spark):
+    records = spark.range(20_000).selectExpr("id", "1L as size", "0.05D as quality", "'/r/a/' as folder", "'n' as name")
+    selection, _ = mixing.mix(records, config(spark, ("P", "a", "r/a", 1.0, 1)), total=10_000)
+    chosen = [r["id"] for r in selection.collect()]
+    assert len(chosen) == 10_000 and abs(sum(chosen) / len(chosen) - 10_000) < 200
