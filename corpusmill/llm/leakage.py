@@ -134,11 +134,11 @@ def greedy_tiles(runs: list[tuple[int, int, int]], n: int, m: int, least: int) -
 COLUMNS = "doc_id bigint, item_id bigint, tiles int, longest int, covered int, item_words int, coverage double"
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, least_coverage: float = 0.0, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
     """One row per document (doc_id, text) and evaluation item (item_id, text) with a run of ``least`` words in common.
 
     tiles: passages found; longest: words of the longest; covered: words of the item within tiles; coverage: their
-    share. Null, empty and short texts on either side match nothing; a text repeated under several ids is reported for
+    share; pairs whose tiles cover less than ``least_coverage`` of the item are left out. Null, empty and short texts on either side match nothing; a text repeated under several ids is reported for
     each, as is a passage that items share; rows repeated under one id are reported again; other columns are ignored.
     The evaluation set may be of any size: it is indexed and broadcast ``words_per_pass`` words at a time.
     """
@@ -157,6 +157,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, words_per_
                     (doc, item, len(t), max(x[0] for x in t), (c := sum(x[0] for x in t)), m, c / m)
                     for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"))
                     for item, t, m in seeds.tiles(text.as_py())
+                    if sum(x[0] for x in t) >= least_coverage * m
                 ]
                 cols = list(zip(*rows)) or [()] * 7
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
@@ -165,8 +166,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, words_per_
         return texts.mapInArrow(run, COLUMNS)
 
     for row in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
+        n = len(index.texts)
         index.add(row["item_id"], row["text"])
-        held += len(index.texts[-1]) if index.texts else 0
+        held += sum(map(len, index.texts[n:]))
         if held >= words_per_pass:
             passes.append(search(index))
             index, held = SeedIndex(least), 0

@@ -82,6 +82,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_coverage(spark, folder).where(f"longest >= {leakage.LEAST}").select("doc_id", "item_id")
 
 
+def p6_mostly_leaked(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of which a document holds at least half, in whatever order the passages stand."""
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), least_coverage=0.5)
+
+
 def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
     return moderation.moderate(table(spark, folder, "documents"), table(spark, folder, "moderation_samples"), table(spark, folder, "flag_terms"))
 
@@ -94,4 +99,4 @@ def p7_source_rates(spark: SparkSession, folder: str) -> DataFrame:
     return moderation.source_rates(p7_scores(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p2_selection, p2_shares, p3_found, p3_defects, p4_found, p4_groups, p5_windows, p5_fill, p6_found, p6_coverage, p7_found, p7_scores, p7_source_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_document_tokens, p1_token_budget, p2_selection, p2_shares, p3_found, p3_defects, p4_found, p4_groups, p5_windows, p5_fill, p6_found, p6_coverage, p6_mostly_leaked, p7_found, p7_scores, p7_source_rates)}

@@ -52,3 +52,12 @@ def test_greedy_tiles_do_not_overlap():
 
 def test_longest_run_wins_ties_by_place():
     assert leakage.greedy_tiles([(3, 5, 0), (3, 0, 0)], 8, 8, 3) == [(3, 0, 0)]
+
+
+def test_coverage_threshold_counts_passages_in_any_order(spark):
+    """An item of 60 words: one document holds both halves, swapped, another a quarter."""
+    item = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(item[30:] + ["x"] + item[:30])), (2, " ".join(item[:15])), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, None)], "item_id long, text string")
+    assert {(r["doc_id"], r["covered"]) for r in leakage.leaks(docs, items).collect()} == {(1, 60), (2, 15)}
+    assert [r["doc_id"] for r in leakage.leaks(docs, items, least_coverage=0.5).collect()] == [1]
