@@ -134,7 +134,7 @@ def greedy_tiles(runs: list[tuple[int, int, int]], n: int, m: int, least: int) -
 COLUMNS = "doc_id bigint, item_id bigint, tiles int, longest int, covered int, item_words int, coverage double"
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, least_coverage: float = 0.0, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, words_per_pass: int = WORDS_PER_PASS, least_coverage: float = 0.0) -> DataFrame:
     """One row per document (doc_id, text) and evaluation item (item_id, text) with a run of ``least`` words in common.
 
     tiles: passages found; longest: words of the longest; covered: words of the item within tiles; coverage: their
