@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from corpusmill.operators.paths import DOMAINS
@@ -52,9 +52,9 @@ def read_specs(path: str, default_rows: int) -> list[dict]:
     return [{"rows": default_rows, "selection": "head"} | s for s in specs]
 
 
-#: Keys that a spec needs, by the type of its source.
-SPEC_KEYS = ("name", "output_subdir", "output_file", "source_type", "rows")
-SOURCE_KEYS = {"hf_dataset": ("dataset", "split"), "fineweb_local_shard": ("file_glob", "shard_index")}
+#: Keys that a spec needs, and those of the types of its source.
+SPEC_KEYS = ("name", "output_subdir", "output_file", "source_type", "rows", "selection")
+SOURCE_KEYS = {"hf_dataset": ("dataset", "split"), "fineweb_glob": ("file_glob",)}
 
 
 def check_specs(specs: list[dict]) -> None:
@@ -63,10 +63,35 @@ def check_specs(specs: list[dict]) -> None:
             raise ValueError(f"spec {s.get('name', '?')} lacks {', '.join(missing)}")
         if s["source_type"] not in SOURCE_KEYS:
             raise ValueError(f"spec {s['name']}: unknown source type {s['source_type']!r}")
-        if not isinstance(s["rows"], int) or s["rows"] <= 0:
+        try:
+            rows = int(s["rows"])
+        except (TypeError, ValueError) as bad:
+            raise ValueError(f"spec {s['name']}: rows must be a positive integer") from bad
+        if rows <= 0:
             raise ValueError(f"spec {s['name']}: rows must be a positive integer")
 
 
+class Presets:
+    """Named sets of specs: a description, and a function that builds the specs from its settings."""
+
+    def __init__(self) -> None:
+        self._known: dict[str, tuple[str, Callable[..., list[dict]]]] = {}
+
+    def add(self, name: str, description: str, build: Callable[..., list[dict]]) -> None:
+        self._known[name] = (description, build)
+
+    def descriptions(self) -> dict[str, str]:
+        return {name: description for name, (description, _) in sorted(self._known.items())}
+
+    def specs(self, name: str, **settings: Any) -> list[dict]:
+        """The checked specs of a preset; an unknown name is refused with those that are known."""
+        if name not in self._known:
+            raise ValueError(f"unknown preset {name!r}; known are {', '.join(sorted(self._known))}")
+        specs = self._known[name][1](**settings)
+        check_specs(specs)
+        return specs
+
+
 def provenance(spec: dict) -> dict:
     """A spec without the keys that say where it is written."""
     return {k: v for k, v in spec.items() if k not in ("output_subdir", "output_file")}

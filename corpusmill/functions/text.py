@@ -65,9 +65,10 @@ def canonical_text(df: DataFrame) -> Column:
     kinds = {f.name: f.dataType for f in df.schema.fields}
     parts: list[Column] = []
     if isinstance(kinds.get("messages"), T.ArrayType):
+        spoken = "role" in getattr(kinds["messages"].elementType, "names", [])  # messages without the key are the user's
         lines = F.transform(
             F.filter("messages", lambda m: m.isNotNull()),
-            lambda m: F.concat(F.coalesce(m["role"], F.lit("None")), F.lit(": "), F.coalesce(m["content"], F.lit("None"))),
+            lambda m: F.concat(F.coalesce(m["role"], F.lit("None")) if spoken else F.lit("user"), F.lit(": "), F.coalesce(m["content"], F.lit("None"))),
         )
         parts.append(F.when(F.size(lines) > 0, F.array_join(lines, "\n")))
     parts += [F.concat(F.lit(f"{n.capitalize()}: "), F.col(n)) for n in _strings(df, LABELLED_COLUMNS)]

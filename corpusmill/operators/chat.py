@@ -72,6 +72,15 @@ def drop_thoughts(messages: Column) -> Column:
     return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.when(m["role"] == "assistant", without_thoughts(m["content"])).otherwise(m["content"]).alias("content")))
 
 
+def reasoning_switched(messages: Column, key: Column, off: float, prompt_on: str, prompt_off: str, seed: int = 0) -> Column:
+    """Chats of which a share ``off`` lose their reasoning; a system prompt says which, unless the chat brings its own.
+
+    The draw is a hash of ``key`` and ``seed``, so that a repeated task decides alike.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    return F.when(draw < off, with_system(drop_thoughts(messages), prompt_off)).otherwise(with_system(messages, prompt_on))
+
+
 def render(messages: Column) -> Column:
     """Text of a chat with its markers."""
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")
@@ -82,10 +91,17 @@ def chat_ids(messages: Column, limit: int) -> tuple[Column, Column]:
 
     A chat without messages becomes one end token that is not trained on.
     """
+    # Lengths are known before a message is cut into characters: what begins beyond the limit never is, and no text more than once a result.
+    length = lambda m: F.length(m["role"]) + F.length(m["content"]) + 4
+    before = F.aggregate(
+        messages, F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("begins")),
+        lambda a, m: F.struct((a["upto"] + length(m)).alias("upto"), F.array_append(a["begins"], a["upto"]).alias("begins")), lambda a: a["begins"],
+    )
+    timed = F.filter(F.zip_with(messages, before, lambda m, b: F.struct(m["role"].alias("role"), m["content"].alias("content"), (F.lit(limit) - b).alias("room"))), lambda m: m["room"] > 0)
+    body = lambda m: F.concat(char_ids(F.substr(m["content"], F.lit(1), F.greatest(m["room"], F.lit(0)))), F.array(F.lit(STOP), F.lit(LINE)))
     header = lambda m: F.concat(F.array(F.lit(START)), char_ids(m["role"]), F.array(F.lit(LINE)))
-    body = lambda m: F.concat(char_ids(m["content"]), F.array(F.lit(STOP), F.lit(LINE)))
-    hidden = lambda ids: F.array_repeat(F.lit(IGNORED), F.size(ids))
-    ids = F.flatten(F.transform(messages, lambda m: F.concat(header(m), body(m))))
-    labels = F.flatten(F.transform(messages, lambda m: F.concat(hidden(header(m)), F.when(m["role"] == "assistant", body(m)).otherwise(hidden(body(m))))))
+    hidden = lambda n: F.array_repeat(F.lit(IGNORED), n)
+    ids = F.flatten(F.transform(timed, lambda m: F.concat(header(m), body(m))))
+    labels = F.flatten(F.transform(timed, lambda m: F.when(m["role"] == "assistant", F.concat(hidden(F.length(m["role"]) + 2), body(m))).otherwise(hidden(F.least(length(m), m["room"])))))
     empty = F.size(messages) == 0
     return F.when(empty, F.array(F.lit(0))).otherwise(F.slice(ids, 1, limit)), F.when(empty, F.array(F.lit(IGNORED))).otherwise(F.slice(labels, 1, limit))

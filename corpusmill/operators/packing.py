@@ -16,11 +16,15 @@ def pack_sequences(docs: DataFrame, length: int, stream: str = "stream", order:
 
     Columns: stream, block, content (block text), cu (offsets of the document ends within it, from 0 to ``length``).
     A document is cut once per block it touches, so a block is gathered from the few documents in it; streams of any
-    size spread over tasks. Documents without text are left out.
+    size spread over tasks. Documents without text are left out; ``order`` is unique within a stream.
     """
     size = length + 1
-    closed = docs.where(F.col(text) != "").select(stream, order, F.concat(F.col(text), F.lit(END_MARK)).alias("closed"))
-    placed = running_total(closed.withColumn("n", F.length("closed")), "n", [order], [stream], "end").withColumn("begin", F.col("end") - F.col("n"))
+    texts = docs.where(F.col(text) != "")
+    # Only keys and lengths are ordered, summed and checkpointed; texts are joined to their places, and moved once.
+    sized = texts.select(stream, order, (F.length(text) + 1).alias("n"))
+    ends = running_total(sized, "n", [order], [stream], "end").withColumn("begin", F.col("end") - F.col("n"))
+    closed = texts.select(F.col(stream).alias("__stream"), F.col(order).alias("__order"), F.concat(F.col(text), F.lit(END_MARK)).alias("closed"))
+    placed = ends.join(closed, ends[stream].eqNullSafe(closed["__stream"]) & (ends[order] == closed["__order"])).drop("__stream", "__order")
     first, last = F.floor(F.col("begin") / size), F.floor((F.col("end") - 1) / size)
     touched = placed.select("*", F.explode(F.sequence(first, last)).alias("block"))
     left = F.greatest(F.col("block") * size, F.col("begin"))
@@ -64,6 +68,16 @@ def eval_windows(n: Column, length: int) -> Column:
     return F.when(n >= 2, F.sequence(F.lit(0), (n - 2).cast("int"), F.lit(length))).otherwise(F.array().cast("array<int>"))
 
 
+def collate_bounds(packed: DataFrame, batch: str, cu: str = "cu") -> DataFrame:
+    """Packed samples with their bounds filled up with -1 to the most of their batch, as ``cu_padded``, and the number of those that count, ``n_segs``.
+
+    The longest of a batch is aggregated and joined back, so that a batch of any size gathers nowhere.
+    """
+    longest = packed.groupBy(batch).agg(F.max(F.size(cu)).alias("__longest"))
+    joined = packed.join(longest, packed[batch].eqNullSafe(longest[batch])).drop(longest[batch])
+    return joined.withColumn("n_segs", F.size(cu)).withColumn("cu_padded", F.concat(F.col(cu).cast("array<int>"), F.array_repeat(F.lit(-1), F.col("__longest") - F.col("n_segs")))).drop("__longest")
+
+
 def pad_batches(df: DataFrame, batch: str, column: str, fill: int, out: str = "padded") -> DataFrame:
     """Arrays filled up to the longest of their batch, and their own length as ``n``."""
     longest = F.max(F.size(column)).over(Window.partitionBy(batch))

@@ -9,6 +9,13 @@ from corpusmill.operators.paths import DOMAINS
 from corpusmill.operators.prefix import running_total
 
 
+def first_seen(df: DataFrame, value: str, order: str, out: str = "place") -> DataFrame:
+    """Distinct values in the order in which they are first seen: value, ``first`` (its order there) and ``place`` from 0. A null is a value."""
+    firsts = df.groupBy(value).agg(F.min(order).alias("first")).withColumn("__one", F.lit(1))
+    placed = running_total(firsts, "__one", ["first"], out=out)
+    return placed.withColumn(out, F.col(out) - 1).drop("__one")
+
+
 def normalise_weights(weights: dict[str, float]) -> dict[str, float]:
     """Weights of all domains, scaled to sum to 1."""
     if missing := [d for d in DOMAINS if d not in weights]:

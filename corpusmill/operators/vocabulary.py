@@ -94,17 +94,20 @@ def normalise_by_join(docs: DataFrame, allowed: DataFrame, order: str = "doc_id"
 
 
 def within_bytes(docs: DataFrame, cap: int, order: list[str], text: str = "text") -> DataFrame:
-    """Documents as long as those before them hold fewer than ``cap`` bytes; the one that crosses the cap is kept."""
-    sized = docs.withColumn("__bytes", F.octet_length(text))
+    """Keys (``order``) of documents as long as those before them hold fewer than ``cap`` bytes, and the bytes up to each; the one that crosses the cap is kept.
+
+    Texts do not move: only keys and lengths are ordered.
+    """
+    sized = docs.select(*order, F.octet_length(text).alias("__bytes"))
     return running_total(sized, "__bytes", order, out="bytes_upto").where(F.col("bytes_upto") - F.coalesce(F.col("__bytes"), F.lit(0)) < cap).drop("__bytes")
 
 
 def within_bytes_kept(docs: DataFrame, cap: int, order: list[str], text: str, kept: str) -> DataFrame:
     """As ``within_bytes``, where only documents whose ``kept`` text is left end the stream: the cap is tested after such a one."""
-    sized = docs.withColumn("__bytes", F.octet_length(text))
+    sized = docs.select(*order, F.octet_length(text).alias("__bytes"), F.when(F.col(kept).isNotNull(), True).alias("__kept"))
     upto = running_total(sized, "__bytes", order, out="bytes_upto").drop("__bytes")
-    over = upto.where(F.col(kept).isNotNull() & (F.col("bytes_upto") >= cap)).agg(F.min("bytes_upto").alias("stop"))
-    return upto.join(F.broadcast(over)).where(F.col(kept).isNotNull() & (F.col("stop").isNull() | (F.col("bytes_upto") <= F.col("stop")))).drop("stop")  # one row
+    over = upto.where(F.col("__kept").isNotNull() & (F.col("bytes_upto") >= cap)).agg(F.min("bytes_upto").alias("stop"))
+    return upto.join(F.broadcast(over)).where(F.col("__kept").isNotNull() & (F.col("stop").isNull() | (F.col("bytes_upto") <= F.col("stop")))).drop("stop", "__kept")  # one row
 
 
 def greedy_batches(docs: DataFrame, most_docs: int, most_chars: int, stream: str, order: str, text: str = "text") -> DataFrame:

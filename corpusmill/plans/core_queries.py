@@ -426,7 +426,7 @@ def f4_eval_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 WITH b AS (SELECT doc_id, (row_number() OVER (PARTITION BY coalesce(lang, '?') ORDER BY doc_id) - 1) // 8 AS nth, coalesce(lang, '?') AS stream, length(text) AS n FROM documents WHERE text <> '')
 SELECT doc_id, stream, nth, n, max(n) OVER (PARTITION BY stream, nth) - n AS padding FROM b""")
-def i24_padded_batches(spark: SparkSession, folder: str) -> DataFrame:
+def e15_padded_batches(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("text <> ''").select("doc_id", F.coalesce("lang", F.lit("?")).alias("stream"), char_ids(F.col("text")).alias("ids"))
     ranked = running_total(docs.withColumn("one", F.lit(1)), "one", ["doc_id"], ["stream"], "rank")
     numbered = ranked.withColumn("nth", F.floor((F.col("rank") - 1) / 8)).withColumn("batch", F.concat_ws(":", "stream", "nth"))
@@ -434,6 +434,17 @@ def i24_padded_batches(spark: SparkSession, folder: str) -> DataFrame:
     return padded.select("doc_id", "stream", "nth", F.col("n").cast("long"), F.size(F.filter("padded", lambda v: v == -1)).cast("long").alias("padding"))
 
 
+@query(f"""
+SELECT stream, block, n_segs, longest - n_segs AS padding, cu || repeat(',-1', (longest - n_segs)::BIGINT) AS cu_padded FROM (
+ SELECT stream, block, cu, len(string_split(cu, ',')) AS n_segs, max(len(string_split(cu, ','))) OVER (PARTITION BY stream, block // 8) AS longest FROM ({_PACKED}))""")
+def i24_collated_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight blocks of a stream to a batch."""
+    packed = _packed(spark, folder).withColumn("batch", F.concat_ws(":", "stream", F.floor(F.col("block") / 8)))
+    done = packing.collate_bounds(packed, "batch")
+    padding = F.size(F.filter("cu_padded", lambda v: v == -1))
+    return done.select("stream", "block", F.col("n_segs").cast("long"), padding.cast("long").alias("padding"), F.array_join(F.col("cu_padded").cast("array<string>"), ",").alias("cu_padded"))
+
+
 # Chats
 
 _CHAT = """
@@ -453,6 +464,28 @@ def i20_rendered_chats(spark: SparkSession, folder: str) -> DataFrame:
     return _chats(spark, folder).select("row_id", F.md5(chat.render(F.col("messages"))).alias("rendered_md5"), F.size("messages").cast("long").alias("n_messages"))
 
 
+def _switched(off: str, prompt: str, content: str) -> str:
+    return f"""
+SELECT row_id, {off} AS off, md5(array_to_string(list_transform(ms, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '')) AS rendered_md5 FROM (
+ SELECT row_id, CASE WHEN len(messages) > 0 AND coalesce(messages[1].role, '') <> 'system' THEN list_prepend({{'role': 'system', 'content': '{prompt}'}}, ms) ELSE ms END AS ms FROM (
+ SELECT row_id, messages, list_transform(coalesce(messages, []), lambda m: {{'role': CASE m.role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(m.role, '') END, 'content': {content}}}) AS ms
+ FROM nemotron_post_training))"""
+
+
+_STRIPPED = _strip(rf"regexp_replace(coalesce(m.content, ''), '(?s)<think>.*?</think>{WS}*', '', 'g')")
+_WITHOUT = f"CASE WHEN m.role IN ('gpt', 'assistant') THEN {_STRIPPED} ELSE coalesce(m.content, '') END"
+
+
+@query(_switched("0.0", "You think step by step.", "coalesce(m.content, '')") + " UNION ALL " + _switched("1.0", "You answer at once.", _WITHOUT))
+def i8_reasoning_switched(spark: SparkSession, folder: str) -> DataFrame:
+    """Never and always off; shares between are drawn by hash, as the tests show."""
+    df = table(spark, folder, "nemotron_post_training")
+    own = df.select("row_id", chat.common_roles(chat.to_messages(df)).alias("messages"))
+    switched = [chat.reasoning_switched(F.col("messages"), F.col("row_id"), off, "You think step by step.", "You answer at once.") for off in (0.0, 1.0)]
+    each = F.array(*[F.struct(F.lit(off).alias("off"), m.alias("messages")) for off, m in zip((0.0, 1.0), switched)])
+    return own.select("row_id", F.explode(each).alias("e")).select("row_id", "e.off", F.md5(chat.render(F.col("e.messages"))).alias("rendered_md5"))
+
+
 @query(f"""
 SELECT row_id, CASE WHEN len(ms) = 0 THEN 1 ELSE least(4096, list_sum(list_transform(ms, lambda m: length(m.role) + length(m.content) + 4))) END::BIGINT AS n_ids,
  coalesce(list_sum(list_transform(list_filter(ms, lambda m: m.role = 'assistant'), lambda m: length(m.content) + 2)), 0)::BIGINT AS n_trained FROM ({_CHAT})""")
@@ -505,16 +538,19 @@ def e6_average_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("name"), F.length("text").alias("base_tokens"), F.octet_length("text").alias("custom_tokens"), (F.col("item_id") % 9 != 0).alias("roundtrip_exact"))
+    items = table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("name"), F.length("text").alias("base_tokens"), F.octet_length("text").alias("custom_tokens"), (F.col("item_id") % 9 != 0).alias("roundtrip_exact"), (F.col("item_id") % 7 != 0).alias("roundtrip_normalized"), (F.col("item_id") % 10 / 10).alias("unk_ratio"), (F.col("item_id") % 4).alias("byte_markers"))
     return metrics.ratio_report(items)
 
 
 @query(f"""
 SELECT 'average' AS gate, 'average ratio ' || printf('%.3f', a) || ' exceeded max-average-ratio 1.001' AS message FROM (SELECT avg(ratio) AS a FROM ({_REPORT})) WHERE a > 1.001
 UNION ALL SELECT 'sample', 'sample ''' || name || ''' ratio ' || printf('%.3f', ratio) || ' exceeded max-sample-ratio 1.020' FROM ({_REPORT}) WHERE ratio > 1.02
-UNION ALL SELECT 'roundtrip', 'sample ''' || name || ''' failed exact roundtrip' FROM ({_REPORT}) WHERE NOT exact""")
+UNION ALL SELECT 'roundtrip', 'sample ''' || name || ''' failed exact roundtrip' FROM ({_REPORT}) WHERE NOT exact
+UNION ALL SELECT 'normalized', 'sample ''' || item_id || ''' failed normalized roundtrip' FROM eval_items WHERE item_id % 7 = 0
+UNION ALL SELECT 'unknown', 'sample ''' || item_id || ''' custom unk ratio ' || printf('%.3f', item_id % 10 / 10) || ' exceeded max-unk-ratio 0.850' FROM eval_items WHERE item_id % 10 = 9
+UNION ALL SELECT 'markers', 'sample ''' || item_id || ''' byte marker count ' || (item_id % 4) || ' exceeded max-byte-markers 2' FROM eval_items WHERE item_id % 4 = 3""")
 def e23_regression_gates(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.failures(_report(spark, folder), max_average=1.001, max_sample=1.02, roundtrip=True)
+    return metrics.failures(_report(spark, folder), max_average=1.001, max_sample=1.02, roundtrip=True, normalized_roundtrip=True, max_unknown=0.85, max_markers=2)
 
 
 # Rewards
@@ -640,9 +676,9 @@ def l3_rms_norm(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", F.round(F.aggregate(normed, F.lit(0.0), lambda a, x: a + x), 6).alias("normed_sum"))
 
 
-@query("SELECT label, count(DISTINCT vec_id) AS n FROM embeddings GROUP BY label")
-def e18_distinct_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").groupBy("label").agg(F.countDistinct("vec_id").alias("n"))
+@query("SELECT source, min(doc_id) AS first, row_number() OVER (ORDER BY min(doc_id)) - 1 AS place FROM documents GROUP BY source")
+def e18_first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.first_seen(table(spark, folder, "documents"), "source", "doc_id")
 
 
 @query("SELECT doc_id, length(text) + 1 AS n_ids, 0 AS last_id FROM documents WHERE text <> ''")
@@ -693,12 +729,12 @@ _TEMPLATES = {"qa": "Passage:\n{text}\nQuestions:", "short": "In short {braces}:
 
 @query("""
 SELECT item_id::VARCHAR AS name, length(text) AS base_tokens, strlen(text) AS custom_tokens, CASE WHEN length(text) > 0 THEN round(strlen(text)::DOUBLE / length(text), 6) END AS ratio,
- true AS roundtrip_exact, substring(text, 1, 160) AS preview FROM eval_items""")
+ true AS roundtrip_exact, 0 AS unk_count, 0.0 AS unk_ratio, substring(text, 1, 160) AS preview FROM eval_items""")
 def e7_tokenizer_report(spark: SparkSession, folder: str) -> DataFrame:
     """Code points against bytes, two tokenizers that SQL has as well."""
     samples = table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("name"), "text")
     report = tokenizers.compare(samples, tokenizers.CodePoints(), tokenizers.Utf8Bytes())
-    return report.select("name", F.col("base_tokens").cast("long"), F.col("custom_tokens").cast("long"), F.round("ratio", 6).alias("ratio"), "roundtrip_exact", "preview")
+    return report.select("name", F.col("base_tokens").cast("long"), F.col("custom_tokens").cast("long"), F.round("ratio", 6).alias("ratio"), "roundtrip_exact", F.col("unk_count").cast("long"), "unk_ratio", "preview")
 
 
 @query("SELECT doc_id, length(text) AS had, least(length(text), 500) AS kept FROM documents WHERE text IS NOT NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import os
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,6 +155,32 @@ def pick_shard(paths: list[str], patterns: list[str], index: int) -> str:
     raise FileNotFoundError(f"nothing matches {', '.join(patterns)}")
 
 
+def read_shard(spark: SparkSession, root: str, spec: Mapping, fallbacks: Sequence[str] = (), allow_partial: bool = False) -> tuple[DataFrame, dict]:
+    """The first rows of one shard of a glob, and where they are from.
+
+    ``spec``: rows, file_glob and shard_index (0 if absent; negative ones count from the end) below ``root``. Later patterns are tried
+    where the first matches nothing. A shard without rows is refused, and one with fewer than asked for unless
+    ``allow_partial``. Rows are counted up to the number asked for, so that a long shard is not read to its end.
+    """
+    rows, index = int(spec["rows"]), int(spec.get("shard_index", 0))
+    tried = list(dict.fromkeys([*([spec["file_glob"]] if "file_glob" in spec else []), *fallbacks]))
+    paths = walk_files(root, (".parquet",))
+    relative = {os.path.relpath(p, root): p for p in paths}
+    chosen = pick_shard(list(relative), tried, index)
+    matched = next(p for p in tried if any(fnmatch.fnmatch(x, p) for x in relative))
+    shards = sum(fnmatch.fnmatch(x, matched) for x in relative)
+    head = spark.read.parquet(relative[chosen]).limit(rows)
+    actual = head.count()
+    if not actual:
+        raise ValueError(f"spec {spec.get('name', '?')}: no rows in shard {index}")
+    if actual < rows and not allow_partial:
+        raise ValueError(f"spec {spec.get('name', '?')}: {rows} rows asked for, the shard holds {actual}")
+    return head, {
+        "resolved_file": relative[chosen], "selection": "head", "requested_rows": rows, "actual_rows": actual,
+        "shard_count": shards, "shard_index": index % shards, "matched_glob": matched, "tried_globs": tried[: tried.index(matched) + 1],
+    }
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """name, text of a JSON list; anything else is refused."""
     df = spark.read.option("multiLine", True).json(path)

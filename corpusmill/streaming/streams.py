@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusmill.operators.checkpoints import whole_archives
 from corpusmill.operators.packing import END_MARK
 from corpusmill.session import ensure_checkpoint_dir
 
@@ -75,25 +76,58 @@ FILE_SCHEMA = T.StructType([
 ])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system Spark knows it by."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+
+
 class Delivery:
-    """Hands new files to ``send`` once, when they are old enough and not empty; the others are offered again.
+    """Hands new files to ``send`` once, when they are old enough, not empty, no longer growing and sound; the others are offered again.
 
     Files that wait are kept in ``folder``, a version per micro-batch, so that a restart neither forgets nor repeats any.
-    ``send`` gets paths; a file whose sending fails waits.
+    ``send`` gets paths; a file whose sending fails waits. With ``settled`` a file goes out only if it has the size and
+    time that it had a micro-batch before; with ``archives`` only if its content is a zip archive that can be read to
+    its end.
     """
 
-    def __init__(self, folder: str, send: Callable[[str], bool], min_age: float, now: Callable[[], float] = time.time):
-        self.folder, self.send, self.min_age, self.now = folder, send, min_age, now
+    def __init__(self, folder: str, send: Callable[[str], bool], min_age: float, now: Callable[[], float] = time.time, settled: bool = False, archives: bool = False):
+        self.folder, self.send, self.min_age, self.now, self.settled, self.archives = folder, send, min_age, now, settled, archives
+
+    def _listed_now(self, spark: SparkSession, paths: list[str]) -> dict[str, tuple[int, float]]:
+        """Length and time of files as they are now."""
+        out = {}
+        for p in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(p)
+            system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+            if system.exists(where):
+                status = system.getFileStatus(where)
+                out[p] = (int(status.getLen()), status.getModificationTime() / 1000)
+        return out
+
+    def _sound(self, spark: SparkSession, paths: list[str]) -> set[str]:
+        if not self.archives or not paths:
+            return set(paths)
+        read = spark.read.format("binaryFile").load(paths)
+        names = {p.split("://")[-1].split(":", 1)[-1].lstrip("/"): p for p in paths}
+        return {names[k] for r in whole_archives(read).select("path").collect() if (k := r["path"].split("://")[-1].split(":", 1)[-1].lstrip("/")) in names}
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.select("path", "length", F.unix_timestamp("modificationTime").cast("double").alias("mtime"))
         before = f"{self.folder}/waiting-{number - 1}"
-        if os.path.exists(before):
-            new = new.unionByName(spark.read.parquet(before).select("path", "length", "mtime"))
-        ready = (F.col("length") > 0) & (F.lit(self.min_age <= 0) | (F.lit(self.now()) - F.col("mtime") >= self.min_age))
-        listed = new.withColumn("ready", ready).collect()  # a listing of files, not their content
-        left = [(r["path"], r["length"], r["mtime"]) for r in listed if not (r["ready"] and self.send(r["path"]))]
+        waited = set()
+        if path_exists(spark, before):
+            old = spark.read.parquet(before).select("path", "length", "mtime")
+            waited = {r["path"] for r in old.collect()}
+            new = new.unionByName(old)
+        listed = [tuple(r) for r in new.select("path", "length", "mtime").collect()]  # a listing of files, not their content
+        there = self._listed_now(spark, [p for p, _, _ in listed]) if self.settled else {}
+        here = [(p, *there.get(p, (n, t))) for p, n, t in listed]
+        steady = {p for p, n, t in listed if not self.settled or p in waited and there.get(p) == (n, t)}
+        ready = [p for p, n, t in here if p in steady and n > 0 and (self.min_age <= 0 or self.now() - t >= self.min_age)]
+        sound = self._sound(spark, ready)
+        left = [x for x in here if not (x[0] in sound and self.send(x[0]))]
         spark.createDataFrame(left, "path string, length bigint, mtime double").write.mode("overwrite").parquet(f"{self.folder}/waiting-{number}")
 
     def watch(self, spark: SparkSession, folder: str, glob: str, state: str):

@@ -174,7 +174,7 @@ def test_config(tmp_path):
     assert config.corpus_bytes(2) == 2**29 and config.env_int({"A": "x"}, "A", 4) == 4 and config.env_flag({"A": "Yes"}, "A")
     (tmp_path / "s.json").write_text('{"pillars": [{"name": "n"}]}')
     assert config.read_specs(str(tmp_path / "s.json"), 900) == [{"rows": 900, "selection": "head", "name": "n"}]
-    good = {"name": "n", "output_subdir": "o", "output_file": "f", "source_type": "hf_dataset", "rows": 3, "dataset": "d", "split": "s"}
+    good = {"name": "n", "output_subdir": "o", "output_file": "f", "source_type": "hf_dataset", "selection": "head", "rows": 3, "dataset": "d", "split": "s"}
     config.check_specs([good])
     assert "output_file" not in config.provenance(good)
     for bad in ({**good, "rows": 0}, {k: v for k, v in good.items() if k != "split"}, {**good, "source_type": "x"}):
@@ -182,3 +182,26 @@ def test_config(tmp_path):
             config.check_specs([bad])
     (tmp_path / "p.json").write_text('{"small": {"size": 2}}')
     assert config.profiles({"small": {"size": 1, "k": 3}}, str(tmp_path / "p.json")) == {"small": {"size": 2, "k": 3}}
+
+
+def test_reasoning_is_switched_off_for_a_share_of_chats(spark):
+    from corpusmill.operators import chat
+
+    df = spark.range(2_000).selectExpr("id", "array(struct('user' as role, 'q' as content), struct('assistant' as role, '<think>t</think> a' as content)) as messages")
+    out = df.select("id", chat.reasoning_switched(F.col("messages"), F.col("id"), 0.3, "on", "off").alias("m"))
+    rows = [(r["m"][0]["content"], r["m"][2]["content"]) for r in out.collect()]
+    off = rows.count(("off", "a"))
+    assert off + rows.count(("on", "<think>t</think> a")) == 2_000 and 500 < off < 700
+    assert out.collect() == out.repartition(7).orderBy("id").collect()
+    own = spark.sql("select array(struct('system' as role, 's' as content)) as messages")
+    assert own.select(chat.reasoning_switched(F.col("messages"), F.lit(1), 1.0, "on", "off")).first()[0][0]["content"] == "s"
+
+
+@pytest.mark.parametrize("limit", [1, 2, 5, 9, 10, 11, 14, 40])
+def test_chat_ids_at_every_limit(spark, limit):
+    """Cut anywhere, ids and labels are those of the whole chat, cut."""
+    from corpusmill.operators import chat
+
+    df = spark.sql("select array(struct('user' as role, 'abc' as content), struct('assistant' as role, 'de' as content), struct('user' as role, '' as content)) as m")
+    whole, cut = (df.select(*chat.chat_ids(F.col("m"), n)).first() for n in (1_000, limit))
+    assert len(whole[0]) == (4 + 3 + 4) + (9 + 2 + 4) + (4 + 0 + 4) and list(cut[0]) == list(whole[0])[:limit] and list(cut[1]) == list(whole[1])[:limit]

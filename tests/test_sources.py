@@ -148,3 +148,64 @@ def test_split_selection(spark):
     for df in (spark.range(3), spark.range(0)):
         with pytest.raises(ValueError):
             sampling.take_split(df, 5, "head", ["id"], allow_partial=df.count() == 0)
+
+
+def test_presets_and_specs():
+    from corpusmill.config import Presets, check_specs
+
+    def build(rows=5, shard=-1):
+        return [
+            {"name": "web", "output_subdir": "web", "output_file": "w.parquet", "source_type": "fineweb_glob", "file_glob": "*/x_*.parquet", "shard_index": shard, "selection": "head", "rows": rows},
+            {"name": "code", "output_subdir": "code", "output_file": "c.parquet", "source_type": "hf_dataset", "dataset": "d", "split": "train", "selection": "tail", "rows": str(rows)},
+        ]
+
+    presets = Presets()
+    presets.add("two", "Two pillars.", build)
+    assert presets.descriptions() == {"two": "Two pillars."} and [s["rows"] for s in presets.specs("two", rows=7)] == [7, "7"]
+    for broken in ({"rows": 0}, {"rows": "x"}):
+        with pytest.raises(ValueError):
+            presets.specs("two", **broken)
+    with pytest.raises(ValueError, match="two"):
+        presets.specs("three")
+    for key in ("selection", "file_glob", "source_type"):
+        with pytest.raises(ValueError):
+            check_specs([{k: v for k, v in build()[0].items() if k != key}])
+    with pytest.raises(ValueError):
+        check_specs([build()[0] | {"source_type": "other"}])
+
+
+def test_head_rows_of_a_shard(spark, tmp_path):
+    from corpusmill.sources.scan import read_shard
+
+    for name in ("a/x_1", "a/x_2", "b/y_1"):
+        spark.range(10).coalesce(1).toPandas().to_parquet(tmp_path / (name.replace("/", "_") + ".parquet"))
+    rows, about = read_shard(spark, str(tmp_path), {"name": "web", "rows": 4, "file_glob": "*z_*.parquet", "shard_index": -1}, ["a_x_*.parquet", "*.parquet"])
+    assert rows.count() == 4 and about["shard_count"] == 2 and about["shard_index"] == 1 and about["resolved_file"].endswith("a_x_2.parquet")
+    assert about["tried_globs"] == ["*z_*.parquet", "a_x_*.parquet"] and about["matched_glob"] == "a_x_*.parquet" and about["actual_rows"] == 4
+    with pytest.raises(ValueError):
+        read_shard(spark, str(tmp_path), {"rows": 11, "file_glob": "b_*"})
+    assert read_shard(spark, str(tmp_path), {"rows": 11, "file_glob": "b_*"}, allow_partial=True)[1]["actual_rows"] == 10
+    with pytest.raises(FileNotFoundError):
+        read_shard(spark, str(tmp_path), {"rows": 1, "file_glob": "none*"})
+    with pytest.raises(IndexError):
+        read_shard(spark, str(tmp_path), {"rows": 1, "file_glob": "a_*", "shard_index": 2})
+
+
+def test_deliveries_wait_until_files_are_settled_and_whole(spark, tmp_path):
+    import zipfile
+
+    from corpusmill.streaming.streams import Delivery
+
+    folder, sent = tmp_path / "in", []
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "good.pt", "w") as z:
+        z.writestr("a", "x" * 100)
+    (folder / "bad.pt").write_bytes(b"PK broken")
+    deliver = Delivery(str(tmp_path / "state"), lambda p: sent.append(p.rpartition("/")[2]) or True, 0, settled=True, archives=True)
+    files = spark.read.format("binaryFile").load(str(folder)).select("path", "length", "modificationTime")
+    deliver(files, 0)
+    assert sent == []  # seen for the first time
+    deliver(files.limit(0), 1)
+    assert sent == ["good.pt"]
+    deliver(files.limit(0), 2)
+    assert sent == ["good.pt"] and [r["path"].rpartition("/")[2] for r in spark.read.parquet(str(tmp_path / "state/waiting-2")).collect()] == ["bad.pt"]
