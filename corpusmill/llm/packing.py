@@ -120,12 +120,13 @@ def split_items(documents: DataFrame, phases: dict[str, int]) -> DataFrame:
 
 
 def pack(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Windows of ``items`` (phase, capacity, id, part, size from 1 to capacity): the columns of PACKED, with ``window_id``.
+    """Windows of ``items`` (phase, capacity, id, part, size from 1 to capacity): these columns, window_id, fill, certified.
 
+    A window is certified if the partition that it was packed in needs no window less by its lower bound.
     Items of one id and part are packed each on their own. Whole windows need no packing and never meet a task.
     """
     columns = ["phase", "capacity", "id", "part", "size"]
-    full = items.where("size = capacity").select(*columns, F.concat_ws("-", F.lit("w"), "phase", "id", "part").alias("window_id"), F.col("capacity").alias("fill"))
+    full = items.where("size = capacity").select(*columns, F.concat_ws("-", F.lit("w"), "phase", "id", "part").alias("window_id"), F.col("capacity").alias("fill"), F.lit(True).alias("certified"))
     open_ = materialise(items.where("size < capacity").select(*columns))
     done = [full]
     left = open_.groupBy("phase").count().agg(F.max("count")).first()[0] or 0
@@ -136,7 +137,7 @@ def pack(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         packed = _per_task(open_, round_).groupBy("phase", "task").applyInPandas(_pack(last), PACKED)
         packed = materialise(packed)
         name = F.concat_ws("-", F.lit(f"r{round_}"), "phase", "task", "window")
-        done.append(packed.where("settled").select(*columns, name.alias("window_id"), "fill"))
+        done.append(packed.where("settled").select(*columns, name.alias("window_id"), "fill", (F.col("windows") == F.col("bound")).alias("certified")))
         open_ = packed.where("not settled").select(*columns)
         left = open_.groupBy("phase").count().agg(F.max("count")).first()[0] or 0
     out = done[0]
@@ -146,7 +147,7 @@ def pack(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def windows(documents: DataFrame, curriculum: DataFrame) -> DataFrame:
-    """One row per phase, document and part: phase, capacity, id, part, size, window_id, fill.
+    """One row per phase, document and part: phase, capacity, id, part, size, window_id, fill, certified.
 
     ``documents``: id and size in tokens; ``curriculum``: phase and ctx. A document without tokens has one row with part
     0, size 0 and no window. Null or non-positive contexts are left out; a phase listed twice counts once, with its
@@ -157,7 +158,7 @@ def windows(documents: DataFrame, curriculum: DataFrame) -> DataFrame:
         phases, documents = {"": 1}, documents.limit(0)
     placed = pack(split_items(documents, phases))
     none = _in_each(documents.where("size <= 0 or size is null"), phases).select(
-        "phase", "capacity", "id", F.lit(0).alias("part"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("window_id"), F.lit(None).cast("int").alias("fill")
+        "phase", "capacity", "id", F.lit(0).alias("part"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("window_id"), F.lit(None).cast("int").alias("fill"), F.lit(None).cast("boolean").alias("certified")
     )
     return placed.unionByName(none)
 
@@ -174,6 +175,6 @@ def fill_report(placed: DataFrame) -> DataFrame:
         u = F.when(scaled % F.col("capacity") == 0, scaled / F.col("capacity") / (k + 1)).otherwise(F.floor(scaled / F.col("capacity")) / k)
         terms.append(F.sum(u))
     per_phase = used.groupBy("phase", "capacity").agg(
-        F.countDistinct("window_id").alias("windows"), F.sum(F.col("size").cast("long")).alias("tokens"), F.ceil(F.greatest(*terms) - 1e-6).alias("least_windows")
+        F.countDistinct("window_id").alias("windows"), F.countDistinct(F.when(F.col("certified"), F.col("window_id"))).alias("certified_windows"), F.sum(F.col("size").cast("long")).alias("tokens"), F.ceil(F.greatest(*terms) - 1e-6).alias("least_windows")
     )
     return per_phase.withColumn("unused_share", 1 - F.col("tokens") / (F.col("windows") * F.col("capacity"))).withColumn("gap", F.col("windows") - F.col("least_windows"))
