@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.concepts import CONCEPTS, Concepts
 from corpusmill.llm.textnorm import LONGEST_KEPT, fold
 from corpusmill.llm.tokens import clean_source
 
@@ -58,6 +59,8 @@ PRIOR = 0.001
 INDEPENDENCE = 0.5
 #: Parts of a passage that a class may account for; the rest are words of the corpus at large. The likeliest is taken.
 PARTS = (0.1, 0.3, 0.6)
+#: Share of an offending class's words that are those of any offending class: a threat may name a group, an insult a body.
+MIXED = 0.5
 #: Smoothing: what a word is taken to occur beyond its count, in a language of so many words.
 PSEUDO_COUNT, WORD_TYPES = 0.3, 100_000
 #: Letters at the beginning that words not in the labelled sentences are known by, if they stand there in other words.
@@ -363,7 +366,7 @@ class Restorer:
 
 
 class Lexicon:
-    """What a word may be known by: itself, the category of a listed term that it is or extends, or its beginning. Each is a row of counts."""
+    """What a word may be known by: itself, the category of a listed term that it is or extends, its concept, or its beginning. Each is a row of counts."""
 
     def __init__(self, samples: list[tuple[str, str]], terms: list[tuple[str, str, int | None]]):
         listed = [(plain_letters(t).strip(), c.strip().lower()) for t, c, _ in terms if t and t.strip() and c and c.strip().lower() in CLASSES[1:]]
@@ -372,7 +375,8 @@ class Lexicon:
         #: Worth restoring: words of several samples and of the listed terms.
         self.known = {w for w, n in found.items() if n >= 2 and not w.isdigit()} | {w for t, _ in listed for w in PIECES.findall(t) if not w.isdigit()}
         own = sorted({w for w in found if not w.isdigit()} | self.known)
-        self.row = {key: i for i, key in enumerate([NUMBER, *own, *(f"={c}" for c in CLASSES[1:]), *sorted({f"~{w[:STEM]}" for w in own if len(w) >= STEM})])}
+        self.concepts = Concepts()
+        self.row = {key: i for i, key in enumerate([NUMBER, *own, *(f"={c}" for c in CLASSES[1:]), *(f"@{c}" for c in CONCEPTS), *sorted({f"~{w[:STEM]}" for w in own if len(w) >= STEM})])}
 
     def category(self, word: str) -> str | None:
         """Category of the listed term that the word is, with an ending of up to half its length."""
@@ -381,12 +385,12 @@ class Lexicon:
                 return self.terms[word[:n]]
         return None
 
-    def rows(self, word: str) -> tuple[int, int, int]:
-        """Rows of the word itself, of its category and of its beginning; -1 for none."""
+    def rows(self, word: str) -> tuple[int, int, int, int]:
+        """Rows of the word itself, of its category, of its concept and of its beginning; -1 for none."""
         if word.isdigit():
-            return self.row[NUMBER], -1, -1
-        category = self.category(word)
-        return self.row.get(word, -1), self.row[f"={category}"] if category else -1, self.row.get(f"~{word[:STEM]}", -1) if len(word) >= STEM else -1
+            return self.row[NUMBER], -1, -1, -1
+        category, concept = self.category(word), self.concepts.of(word)
+        return self.row.get(word, -1), self.row[f"={category}"] if category else -1, self.row[f"@{concept}"] if concept else -1, self.row.get(f"~{word[:STEM]}", -1) if len(word) >= STEM else -1
 
 
 class WordRows(dict):
@@ -396,7 +400,7 @@ class WordRows(dict):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         value = self.lexicon.rows(word)
         if len(word) <= LONGEST_KEPT:
             if len(self) > MEMO_CHUNKS:
@@ -423,10 +427,12 @@ class Scorer:
         at_large = ((background + PSEUDO_COUNT) / (total + PSEUDO_COUNT * WORD_TYPES))[:, None]
         ratio = (counts + at_large) / (words + 1) / at_large
         seen = counts.sum(axis=1)
-        for key, r in lexicon.row.items():  # a rare word of a listed category says at least what its category does
-            if key[0] not in "=~<" and seen[r] < 3 and (category := lexicon.category(key)):
-                ratio[r] = np.maximum(ratio[r], ratio[lexicon.row[f"={category}"]]) if seen[r] else ratio[lexicon.row[f"={category}"]]
-        ratio[[r for key, r in lexicon.row.items() if seen[r] < (2 if key[0] == "~" else 1) and not lexicon.category(key)]] = 0
+        likes = {r: [like for like in lexicon.rows(key)[1:3] if like >= 0 and seen[like]] for key, r in lexicon.row.items() if key[0] not in "=~@<"}
+        for r, like in likes.items():  # a rare word of a listed category or a concept says at least what they do
+            if like and seen[r] < 3:
+                ratio[r] = np.maximum(ratio[r], ratio[like[0]]) if seen[r] else ratio[like[0]]
+        ratio[[r for key, r in lexicon.row.items() if seen[r] < (2 if key[0] == "~" else 1) and not likes.get(r)]] = 0
+        ratio[:, 1:] = (1 - MIXED) * ratio[:, 1:] + MIXED * ratio[:, 1:].mean(axis=1, keepdims=True)
         self.usable = ratio.any(axis=1)
         known = np.concatenate([ratio, np.zeros((1, len(CLASSES)))])  # the last row is that of other words
         parts = np.array(PARTS)[:, None]
@@ -435,7 +441,7 @@ class Scorer:
         self.other = len(ratio)
         self.prior = math.log(PRIOR / (1 - PRIOR))
 
-    def index(self, rows: tuple[int, int, int]) -> int:
+    def index(self, rows: tuple[int, ...]) -> int:
         """The row that a word is scored by."""
         return next((r for r in rows if r >= 0 and self.usable[r]), self.other)
 

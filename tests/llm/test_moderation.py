@@ -1,5 +1,7 @@
 import os
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpusmill.llm import moderation as m
@@ -97,6 +99,46 @@ def test_passages_that_no_sample_holds(judge, text, bad):
     assert (judge.text(text)[0] >= m.THRESHOLD) == bad
 
 
+@pytest.mark.parametrize(
+    ("text", "bad"),
+    [
+        ("Si je te croise encore, je te fracasse la mâchoire.", True), ("Ich schlage dir die Zähne aus, du elender Feigling.", True), ("Te voy a romper la cabeza, cobarde asqueroso.", True), ("Aucun Hadrim ne mérite de rester parmi nous.", True),
+        ("Heiße Frauen nackt vor der Webcam, Pornos nur für Erwachsene.", True),
+        ("Der Zahnarzt untersuchte die Zähne der Kinder.", False), ("Le dentiste soigne les dents des enfants.", False), ("El dentista cuida los dientes de los niños.", False), ("The court convicted the man who stabbed two victims.", False), ("Kein Mensch darf ohne Urteil bestraft werden.", False), ("Return the list if none is left.", False),
+    ],
+)
+def test_words_weigh_alike_in_all_languages(judge, text, bad):
+    """None of the words that decide is in a labelled sentence of the text's language; what they are about is labelled in another."""
+    assert (judge.text(text)[0] >= m.THRESHOLD) == bad
+
+
+def test_concepts_of_words():
+    concepts = m.Concepts({"one": "breaks break* ab*", "two": "breakfast abc* ab"})
+    assert [concepts.of(w) for w in ("breaks", "breaking", "breakfast", "ab", "abx", "abcd", "a", "")] == ["one", "one", "two", "two", "one", "two", None, None]
+    assert {m.Concepts().of(w) for w in ("die", "con", "son", "the", "und", "les", "los", "")} == {None}
+
+
+def test_wordings_left_out(spark, samples):
+    """All labelled sentences of one wording are left out of the fit; words in common say which are."""
+    labelled, terms = samples
+    found = [set(m.PIECES.findall(m.plain_letters(t))) for t, _ in labelled]
+    often = {w for w in set().union(*found) if sum(w in f for f in found) >= 2}
+    texts = [r[0] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("text is not null").select("text").collect()]
+    trigrams, met = m.count_trigrams(texts), Counter(w for t in texts for w in m.PIECES.findall(m.plain_letters(t)))
+    hit = wrong = 0
+    for i in range(0, len(labelled), 6):
+        own = found[i] & often
+        rest = [s for s, f in zip(labelled, found) if len(own & f & often) < 0.4 * len(own | f & often)]
+        lexicon = m.Lexicon(rest, terms)
+        background = np.zeros(len(lexicon.row), np.int64)
+        for word, n in met.items():
+            background[[r for r in lexicon.rows(word) if r >= 0]] += n
+        over = m.Moderator(trigrams, rest, terms, background, met.total()).text(labelled[i][0])[0] >= m.THRESHOLD
+        hit += over and labelled[i][1] != "clean"
+        wrong += over and labelled[i][1] == "clean"
+    assert hit >= 15 and wrong == 0, (hit, wrong)
+
+
 def test_every_passage_is_scored(judge):
     """No passage gets a constant: what a sentence adds to another's words changes the score."""
     scores = {judge.text(t)[0] for t in ("Tonight we dine.", "We dine with you.", "With you tonight.", "You will be with us.")}
