@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +53,8 @@ SIZE = len(LETTERS) + 1
 KNOWN_MARGIN = 8.0
 #: Spellings that a worker remembers before it starts over; they only save time.
 MEMO_CHUNKS = 300_000
+#: Words whose passages are scored together, with those that end their text.
+BLOCK_WORDS = 8_192
 #: Share of passages that are expected to offend, before a word is read.
 PRIOR = 0.001
 #: Words of a phrase come together; each counts as this part of an independent one.
@@ -98,7 +100,7 @@ def letter_numbers(folded: str) -> np.ndarray:
     return np.frombuffer(folded.encode("ascii", "replace").translate(_LETTER_NUMBERS), np.uint8)
 
 
-def count_trigrams(texts: Iterable[str | None], weight: int = 1) -> np.ndarray:
+def count_trigrams(texts: Iterable[str | None], weight: int = 1, folded: bool = False) -> np.ndarray:
     total = np.zeros(SIZE**3, np.int64)
     held, size = [], 0
 
@@ -109,7 +111,7 @@ def count_trigrams(texts: Iterable[str | None], weight: int = 1) -> np.ndarray:
 
     for text in texts:
         if text:
-            held.append(plain_letters(text))
+            held.append(text if folded else plain_letters(text))
             size += len(held[-1])
             if size > 60_000:
                 flush()
@@ -260,6 +262,23 @@ class Token(NamedTuple):
     ends: bool  # its one word ends, but is not, a known word
     closes: bool
     plain: bool  # none of the above
+    line: bool = False  # a line end, and no chunk
+
+
+class Tokens(dict):
+    """chunk -> ``Token``, filled as chunks turn up."""
+
+    def __init__(self, find: Callable[[str], Token]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, chunk: str) -> Token:
+        value = self.find(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self) > MEMO_CHUNKS:
+                self.clear()
+            self[chunk] = value
+        return value
 
 
 class Restorer:
@@ -271,7 +290,7 @@ class Restorer:
         self.longest = max(map(len, known), default=0)
         self.heads = {w[:i] for w in known for i in range(2, len(w))}
         self.tails = {w[i:] for w in known for i in range(1, len(w))}
-        self.memo: dict[str, Token] = {}
+        self.memo = Tokens(self.token)
 
     def read(self, core: str) -> list[str]:
         """Words of a chunk without its edges: as they stand, or as decoded where that gives a known word."""
@@ -289,6 +308,8 @@ class Restorer:
         return plain
 
     def token(self, chunk: str) -> Token:
+        if chunk == LINE_END[1]:
+            return Token([], "", False, False, False, False, line=True)
         core = chunk.lstrip(BEFORE).rstrip(AFTER)
         got = self.read(core)
         bare = core.rstrip(".!?…")
@@ -303,25 +324,18 @@ class Restorer:
         """Sentences end at their marks, at interjections and at line ends, unless a word runs on across the line."""
         if not text:
             return
-        memo, known = self.memo, self.known
+        known = self.known
         now: list[str] = []
         spelled: list[str] = []
         cut = begun = False
-        for chunk in plain_letters(text).replace("\n", LINE_END).split():
-            token = memo.get(chunk)
-            if token is None:
-                if chunk == LINE_END[1]:
-                    cut = True
-                    continue
-                token = self.token(chunk)
-                if len(chunk) <= LONGEST_KEPT:
-                    if len(memo) > MEMO_CHUNKS:
-                        memo.clear()
-                    memo[chunk] = token
+        for token in map(self.memo.__getitem__, plain_letters(text).replace("\n", LINE_END).split()):
             if token.plain and not cut and not spelled:
                 now += token.words
                 begun = False
                 continue
+            if token.line:
+                cut = True
+                continue
             if spelled and not token.letter:
                 self._spelled(now, spelled)
                 spelled = []
@@ -409,6 +423,22 @@ class WordRows(dict):
         return value
 
 
+class WordIndex(dict):
+    """word -> the row that ``Scorer`` scores it by, filled as words turn up."""
+
+    def __init__(self, rows: WordRows, index: Callable[[tuple[int, ...]], int]):
+        super().__init__()
+        self.rows, self.index = rows, index
+
+    def __missing__(self, word: str) -> int:
+        value = self.index(self.rows[word])
+        if len(word) <= LONGEST_KEPT:
+            if len(self) > MEMO_CHUNKS:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class Scorer:
     """Log odds of passages. A class's words mix with those of the corpus; the corpus alone, or the clean class, has to explain a passage worse.
 
@@ -447,8 +477,11 @@ class Scorer:
 
     def __call__(self, index: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores and classes of the passages from ``start`` to ``end`` of a text of words scored by the rows ``index``."""
-        upto = np.concatenate([np.zeros((1, *self.gain.shape[1:])), np.cumsum(self.gain[index], axis=0)])
-        z = (upto[end] - upto[start]).max(axis=1)
+        length = end - start
+        first = np.cumsum(length) - length
+        words = index[np.arange(length.sum()) + np.repeat(start - first, length)]  # passage by passage; each is summed on its own, whatever stands around it
+        gain = self.gain.reshape(len(self.gain), -1)
+        z = np.add.reduceat(gain.take(words, axis=0), first, axis=0).reshape(-1, *self.gain.shape[1:]).max(axis=1)
         offending = z[:, 1:].max(axis=1)
         odds = offending + np.log(np.exp(z[:, 1:] - offending[:, None]).sum(axis=1)) - np.logaddexp(z[:, 0], 0.0)
         return 1 / (1 + np.exp(-np.clip(odds * INDEPENDENCE + self.prior, -500, 500))), z[:, 1:].argmax(axis=1) + 1
@@ -472,21 +505,52 @@ class Moderator:
         rows = [([w for s in self.restorer.sentences(text) for w in s], CLASSES.index(label)) for text, label in samples if label in CLASSES]
         self.scorer = Scorer(lexicon, rows, np.zeros(len(lexicon.row)) if background is None else background, total)
         self.rows = WordRows(lexicon)
+        self.index = WordIndex(self.rows, self.scorer.index)
 
     def text(self, text: str | None) -> tuple[float, str, int]:
         """Score and class of the worst passage, and the number of sentences at or above the threshold."""
-        index, start, end, sentence = [], [], [], []
-        for n, found in enumerate(self.restorer.sentences(text)):
-            for lo, hi in passages(len(found)):
-                start.append(len(index) + lo)
-                end.append(len(index) + hi)
-                sentence.append(n)
-            index += [self.scorer.index(self.rows[w]) for w in found]
-        if not index:
-            return 0.0, "clean", 0
-        score, label = self.scorer(np.array(index), np.array(start), np.array(end))
-        worst = int(score.argmax())
-        return float(score[worst]), CLASSES[label[worst]], len({sentence[i] for i in np.flatnonzero(score >= THRESHOLD)})
+        return self.texts([text])[0]
+
+    def texts(self, texts: Iterable[str | None]) -> list[tuple[float, str, int]]:
+        """``text`` of each; passages of several texts are scored together."""
+        judged: list[tuple[float, str, int]] = []
+        index: list[int] = []
+        start: list[int] = []
+        end: list[int] = []
+        sentence: list[int] = []
+        held: list[int] = []  # passages up to the end of each text that waits
+        row = self.index.__getitem__
+
+        def flush() -> None:
+            score, label = self.scorer(np.array(index), np.array(start), np.array(end)) if start else (np.empty(0), np.empty(0, int))
+            lo = 0
+            for hi in held:
+                if lo == hi:
+                    judged.append((0.0, "clean", 0))
+                    continue
+                own = score[lo:hi]
+                worst = int(own.argmax())
+                over = len({sentence[lo + i] for i in np.flatnonzero(own >= THRESHOLD)}) if own[worst] >= THRESHOLD else 0
+                judged.append((float(own[worst]), CLASSES[label[lo + worst]], over))
+                lo = hi
+            for kept in (index, start, end, sentence, held):
+                kept.clear()
+
+        for text in texts:
+            at = len(index)
+            for n, found in enumerate(self.restorer.sentences(text)):
+                index += map(row, found)
+                length = len(index) - at
+                for lo, hi in ((0, length),) if length <= WINDOW + 2 else passages(length):
+                    start.append(at + lo)
+                    end.append(at + hi)
+                    sentence.append(n)
+                at += length
+            held.append(len(start))
+            if at > BLOCK_WORDS:
+                flush()
+        flush()
+        return judged
 
 
 def corpus_counts(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, int]:
@@ -501,12 +565,15 @@ def corpus_counts(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, n
         size = SIZE**3 + len(shared.value.row) + 1
         total = np.zeros(size, np.int64)
         for batch in batches:
-            texts = [x.as_py() for x in batch.column("text")]
-            total[: SIZE**3] += count_trigrams(texts)
-            met: Counter[str] = Counter()
+            texts = [plain_letters(text) for text in batch.column("text").to_pylist() if text]
+            total[: SIZE**3] += count_trigrams(texts, folded=True)
+            chunks: Counter[str] = Counter()
             for text in texts:
-                if text:
-                    met.update(PIECES.findall(plain_letters(text)))
+                chunks.update(text.split())
+            met: Counter[str] = Counter()
+            for chunk, n in chunks.items():
+                for word in PIECES.findall(chunk):
+                    met[word] += n
             for word, n in met.items():
                 total[-1] += n
                 for r in rows[word]:
@@ -542,7 +609,7 @@ def moderate(documents: DataFrame, samples: DataFrame, terms: DataFrame) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
         for batch in batches:
-            scored = [judge.text(x.as_py()) for x in batch.column("text")]
+            scored = judge.texts(batch.column("text").to_pylist())
             score, label, over = zip(*scored) if scored else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("source"), pa.array(score, pa.float64()), pa.array([c if s >= THRESHOLD else "clean" for s, c in zip(score, label)], pa.string()), pa.array(over, pa.int32())],

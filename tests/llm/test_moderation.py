@@ -1,4 +1,5 @@
 import os
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -157,6 +158,20 @@ def test_scores_by_formula(judge):
     assert judge.text("You worthless pig, go back under your rock.")[0] == pytest.approx(expected)
 
 
+def test_texts_are_scored_together(judge, monkeypatch):
+    """A call of the scorer for many texts, a lookup for each word; what stands around a text changes nothing in its score."""
+    calls, looked, real, index = [], Counter(), m.Scorer.__call__, judge.scorer.index
+    texts = ["You worthless pig, go back under your rock. Fine.\nNo end", None, "", " \n ", "…", "word " * 60 + "you idiot", "You worthless idiot, nobody asked you.\nYou worthless idiot, nobody asked you.", "The committee adjourned."] * 50
+    alone = [judge.text(t) for t in texts]
+    assert alone[0][2] == 1 and alone[6][2] == 2 and alone[1] == alone[3] == (0.0, "clean", 0)
+    fresh = pickle.loads(pickle.dumps(judge))
+    monkeypatch.setattr(m.Scorer, "__call__", lambda self, *given: calls.append(1) or real(self, *given))
+    fresh.index = m.WordIndex(fresh.rows, lambda rows: looked.update([rows]) or index(rows))
+    assert fresh.texts(texts) == alone and len(calls) <= 2
+    assert len(fresh.index) < 40 and looked.total() == len(fresh.index)
+    assert fresh.texts([]) == [] and fresh.texts([None, ""]) == alone[1:3]
+
+
 def test_windows_cover_every_word():
     for n in range(1, 80):
         parts = m.passages(n)
