@@ -63,6 +63,8 @@ INDEPENDENCE = 0.5
 PARTS = (0.1, 0.3, 0.6)
 #: Share of an offending class's words that are those of any offending class: a threat may name a group, an insult a body.
 MIXED = 0.5
+#: A word's share in the use of its concept is at most so many times that in the corpus.
+MOST_SHARE = 10.0
 #: Smoothing: what a word is taken to occur beyond its count, in a language of so many words.
 PSEUDO_COUNT, WORD_TYPES = 0.3, 100_000
 #: Letters at the beginning that words not in the labelled sentences are known by, if they stand there in other words.
@@ -390,7 +392,9 @@ class Lexicon:
         self.known = {w for w, n in found.items() if n >= 2 and not w.isdigit()} | {w for t, _ in listed for w in PIECES.findall(t) if not w.isdigit()}
         own = sorted({w for w in found if not w.isdigit()} | self.known)
         self.concepts = Concepts()
-        self.row = {key: i for i, key in enumerate([NUMBER, *own, *(f"={c}" for c in CLASSES[1:]), *(f"@{c}" for c in CONCEPTS), *sorted({f"~{w[:STEM]}" for w in own if len(w) >= STEM})])}
+        stems = sorted({f"~{w[:STEM]}" for w in own if len(w) >= STEM})
+        own = sorted({*own, *self.concepts})
+        self.row = {key: i for i, key in enumerate([NUMBER, *own, *(f"={c}" for c in CLASSES[1:]), *(f"@{c}" for c in CONCEPTS), *stems])}
 
     def category(self, word: str) -> str | None:
         """Category of the listed term that the word is, with an ending of up to half its length."""
@@ -458,9 +462,11 @@ class Scorer:
         ratio = (counts + at_large) / (words + 1) / at_large
         seen = counts.sum(axis=1)
         likes = {r: [like for like in lexicon.rows(key)[1:3] if like >= 0 and seen[like]] for key, r in lexicon.row.items() if key[0] not in "=~@<"}
+        share = self._shares(lexicon, background, at_large[:, 0])
         for r, like in likes.items():  # a rare word of a listed category or a concept says at least what they do
             if like and seen[r] < 3:
-                ratio[r] = np.maximum(ratio[r], ratio[like[0]]) if seen[r] else ratio[like[0]]
+                of = ratio[like[0]] * share[r]
+                ratio[r] = np.maximum(ratio[r], of) if seen[r] else of
         ratio[[r for key, r in lexicon.row.items() if seen[r] < (2 if key[0] == "~" else 1) and not likes.get(r)]] = 0
         ratio[:, 1:] = (1 - MIXED) * ratio[:, 1:] + MIXED * ratio[:, 1:].mean(axis=1, keepdims=True)
         self.usable = ratio.any(axis=1)
@@ -471,6 +477,20 @@ class Scorer:
         self.other = len(ratio)
         self.prior = math.log(PRIOR / (1 - PRIOR))
 
+    @staticmethod
+    def _shares(lexicon: Lexicon, background: np.ndarray, at_large: np.ndarray) -> np.ndarray:
+        """How much oftener than in the corpus a class uses a word of a concept, beside the concept as a whole: half of a concept's use falls on its words alike."""
+        share = np.ones(len(lexicon.row))
+        members: dict[int, list[int]] = {}
+        for key, r in lexicon.row.items():
+            if key[0] not in "=~@<" and background[r]:
+                _, category, concept, _ = lexicon.rows(key)
+                if concept >= 0 > category:
+                    members.setdefault(concept, []).append(r)
+        for own in members.values():
+            share[own] = np.minimum(0.5 + 0.5 * at_large[own].mean() / at_large[own], MOST_SHARE)
+        return share
+
     def index(self, rows: tuple[int, ...]) -> int:
         """The row that a word is scored by."""
         return next((r for r in rows if r >= 0 and self.usable[r]), self.other)

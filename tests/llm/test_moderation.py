@@ -119,6 +119,21 @@ def test_concepts_of_words():
     assert {m.Concepts().of(w) for w in ("die", "con", "son", "the", "und", "les", "los", "")} == {None}
 
 
+def test_rare_words_of_a_concept_weigh_more():
+    """Unlabelled words of one concept: what the corpus uses less tells more, up to a bound; a listed term keeps its category's weight."""
+    lexicon = m.Lexicon([("our streets", "hateful"), ("a street", "clean")], [("nous", "hateful", 2)])
+    background = np.zeros(len(lexicon.row), np.int64)
+    for word, n in (("our", 500), ("we", 4_000), ("uns", 40), ("notre", 4), ("nous", 4)):
+        background[[r for r in lexicon.rows(word) if r >= 0]] += n
+    share = m.Scorer._shares(lexicon, background, background / background.sum())
+    our, we, uns, notre, nous, nos = (share[lexicon.row[w]] for w in ("our", "we", "uns", "notre", "nous", "nos"))
+    mean = (500 + 4_000 + 40 + 4) / 4
+    assert our == pytest.approx(0.5 + 0.5 * mean / 500) and we == pytest.approx(0.5 + 0.5 * mean / 4_000) and uns == notre == m.MOST_SHARE and nous == nos == 1
+    scorer = m.Scorer(lexicon, [(["our", "streets"], 2), (["a", "street"], 0)], background, 1_000_000)
+    gain = [scorer.gain[scorer.index(lexicon.rows(w)), 1, 2] for w in ("uns", "we")]
+    assert gain[0] > gain[1] + 1
+
+
 def test_wordings_left_out(spark, samples):
     """All labelled sentences of one wording are left out of the fit; words in common say which are."""
     labelled, terms = samples
