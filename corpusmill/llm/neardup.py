@@ -18,6 +18,7 @@ Texts of the same words share a fingerprint and are one class throughout; copies
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,13 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Texts that are hashed at a time, which bounds a worker's memory whatever the Arrow batch holds.
 TEXTS_AT_A_TIME = SHINGLE_TEXTS
 CHARACTERS_AT_A_TIME = 8_000_000
+#: Elements and documents whose darts are thrown together, and their darts at a time: so many that they stay in a core's cache.
+ELEMENTS_AT_A_TIME = 8_192
+SIGNATURES_AT_A_TIME = 128
+DARTS_AT_A_TIME = 32_768
+NO_DART = np.uint64(np.iinfo(np.uint64).max)
+#: Which half of a 64-bit number is the high one.
+HIGH = int(sys.byteorder == "little")
 #: Entries (band key and fingerprint) that one task gets to sort.
 ENTRIES_PER_TASK = 4_000_000
 #: Distinct texts in one bucket that are paired with each other; to a larger one they bring their sets.
@@ -75,42 +83,67 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
     Documents without elements get zeros.
     """
     out = np.zeros((n_docs, k), np.uint64)
-    todo = np.flatnonzero(np.bincount(doc, minlength=n_docs))
+    end = np.cumsum(np.bincount(doc, minlength=n_docs))
     weight = weight.astype(np.float32)
-    darts = k * (math.log(k) + 2.5)  # all but a twelfth of the documents are complete at once; the rest throw on
-    while len(todo):
-        place = np.full(n_docs, -1)
-        place[todo] = np.arange(len(todo))
-        at, el, w = place[doc], element, weight
-        if len(todo) < n_docs:
-            keep = at >= 0
-            at, el, w = at[keep], el[keep], w[keep]
-        limit = (darts / np.bincount(at, weights=w, minlength=len(todo))).astype(np.float32)
-        left = limit[at]
-        best = np.full(len(todo) * k, np.iinfo(np.uint64).max, np.uint64)
-        turn = 0
-        while len(el):
-            turn += 1
-            with np.errstate(over="ignore"):
-                x = mix64(el + np.uint64(turn) * GOLDEN)
-            left += np.log(((x >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32))
-            on = np.flatnonzero(left > 0)
-            el, w, at, left, x = el[on], w[on], at[on], left[on], x[on]
-            hit = np.flatnonzero((x & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16) < w)
-            where = at[hit]
-            with np.errstate(over="ignore"):
-                y = x[hit] * GOLDEN
-            rank = (limit[where] - left[hit]).view(np.uint32).astype(np.uint64)
-            name = y >> np.uint64(32)
-            np.minimum.at(best, where * k + (name % np.uint64(k)).astype(np.int64), rank << np.uint64(32) | name)
-        best = best.reshape(len(todo), k)
-        done = (best != np.iinfo(np.uint64).max).all(axis=1)
-        out[todo[done]] = best[done]
-        todo = todo[~done]
-        darts *= 2
+    lo = start = 0
+    while lo < n_docs:
+        hi = min(max(lo + 1, int(np.searchsorted(end, start + ELEMENTS_AT_A_TIME, "right"))), lo + SIGNATURES_AT_A_TIME, n_docs)
+        some = slice(start, int(end[hi - 1]))
+        out[lo:hi] = _earliest_darts(doc[some] - lo, element[some], weight[some], hi - lo, k)
+        lo, start = hi, some.stop
     return out
 
 
+def _earliest_darts(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
+    """Signatures of a few documents: several darts of every element at a time, until none that is left can be earlier than a winner."""
+    total = np.bincount(doc, weights=weight, minlength=n_docs)
+    open_ = total > 0
+    once = np.divide(k, total, out=np.zeros(n_docs), where=open_)  # by this rank k darts have come
+    limit = ((math.log(k) + 1.5) * once).astype(np.float32)
+    best = np.full(n_docs * k, NO_DART)
+    first, all_hit = doc * k, bool((weight >= 1).all())
+    turns = np.arange(1, DARTS_AT_A_TIME + 1, dtype=np.uint64) * GOLDEN
+    counter, arrival = element.copy(), np.zeros(len(element), np.float32)
+    on = np.arange(len(element))
+    while True:
+        while len(on):
+            before, until = arrival[on], limit[doc[on]]
+            ahead = until - before
+            n = int(ahead.max()) + 2 if len(on) * 64 < DARTS_AT_A_TIME else int(ahead.sum()) // len(on)
+            n = min(max(1, n), max(1, DARTS_AT_A_TIME // len(on)))
+            x = mix64(counter[on] + turns[:n, None])
+            rank = np.ascontiguousarray(x.view(np.uint32)[:, HIGH::2]).astype(np.float32)
+            rank += np.float32(0.5)
+            rank *= np.float32(2.0**-32)
+            np.log(rank, out=rank)
+            np.subtract(before, rank[0], out=rank[0])
+            for i in range(1, n):
+                np.subtract(rank[i - 1], rank[i], out=rank[i])
+            missed = None if all_hit else (x & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16) >= weight[on]
+            x *= GOLDEN
+            name = np.ascontiguousarray(x.view(np.uint32)[:, HIGH::2])
+            where = (name - name // np.uint32(k) * np.uint32(k)).astype(np.int64)  # numpy's remainder takes longer
+            where += first[on]
+            x >>= np.uint64(32)
+            x |= rank.view(np.uint32).astype(np.uint64) << np.uint64(32)
+            if missed is not None:
+                x[missed] = NO_DART
+            np.minimum.at(best, where.ravel(), x.ravel())
+            counter[on] += turns[n - 1]
+            arrival[on] = rank[-1]
+            on = on[rank[-1] < until]
+        latest = best.reshape(n_docs, k).max(axis=1)
+        rank = (latest >> np.uint64(32)).astype(np.uint32).view(np.float32)
+        empty = latest == NO_DART
+        open_ &= empty | (rank > limit)
+        if not open_.any():
+            best = best.reshape(n_docs, k)
+            best[total == 0] = 0
+            return best
+        limit = np.where(open_, np.where(empty, limit + once, rank), limit).astype(np.float32)
+        on = np.flatnonzero(open_[doc] & (arrival < limit[doc]))
+
+
 def scope_hash(scope: str | None) -> int:
     return xxhash.xxh3_64_intdigest(scope or "")
 
@@ -134,59 +167,69 @@ def _word_lists(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[
                 yield scopes[lo] or "", part.column("id").to_numpy(zero_copy_only=False), found, prints
 
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(scope hash, fingerprints, doc, element) of texts that this worker has not met before."""
-    memo = WordHashes()
-    seen: set[int] = set()
-    for scope, _, found, prints in _word_lists(batches, how):
+class _DistinctSets:
+    """Sets of runs of the texts that this worker has not met before."""
+
+    def __init__(self, how: Similarity) -> None:
+        self.size, self.memo, self.seen = how.words, WordHashes(), set()
+
+    def of(self, found: list[list[str]], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Fingerprints, doc, element."""
         fresh, texts = [], []
         for p, w in zip(prints.tolist(), found):
-            if w and p not in seen:
-                seen.add(p)
+            if w and p not in self.seen:
+                self.seen.add(p)
                 fresh.append(p)
                 texts.append(w)
-        if len(seen) > MEMO_PRINTS:
-            seen.clear()
-        if fresh:
-            yield scope_hash(scope), np.array(fresh, np.uint64), *shingle_sets(texts, how.words, memo)
-
+        if len(self.seen) > MEMO_PRINTS:
+            self.seen.clear()
+        return (np.array(fresh, np.uint64), *shingle_sets(texts, self.size, self.memo)) if fresh else None
 
-def _members(how: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for scope, ids, found, prints in _word_lists(batches, how):
-            some = np.flatnonzero([bool(w) for w in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([scope] * len(some), pa.string()), pa.array(prints[some].view(np.int64)), pa.array(ids[some].astype(np.int64))], ["scope", "fp", "id"]
-            )
 
-    return run
+PACKED = "task int, blob binary, scope string, fp array<bigint>, id array<bigint>"
 
 
-def _bands(how: Similarity, tasks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Band keys of the distinct texts, packed for each task: counts per text, fingerprints, keys.
+def _members_and_bands(how: Similarity, tasks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scope, fingerprints and ids of a few texts, for any one task, and band keys of the distinct ones, packed for each task: counts per text, fingerprints, keys.
 
     Of a key 32 bits are left beside its task; the few texts that meet by chance are compared in vain.
     """
+    types = [pa.int32(), pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["task", "blob", "scope", "fp", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seed, prints, doc, element in _distinct_sets(batches, how):
+        sets = _DistinctSets(how)
+        for scope, ids, found, prints in _word_lists(batches, how):
+            some = np.flatnonzero([bool(w) for w in found])
+            if not len(some):
+                continue
+            at = int(prints[some[0]]) % tasks
+            members = pa.array([prints[some].view(np.int64)], types[3]), pa.array([ids[some].astype(np.int64)], types[4])
+            yield pa.RecordBatch.from_arrays([pa.array([at], types[0]), pa.nulls(1, types[1]), pa.array([scope], types[2]), *members], names)
+            fresh = sets.of(found, prints)
+            if fresh is None:
+                continue
+            prints, doc, element = fresh
             signature = dart_signatures(doc, element, np.ones(len(element)), len(prints), how.coordinates)
             cut = (signature & np.uint64(0xFFFFFFFF)).reshape(len(prints), how.bands, how.rows)
             with np.errstate(over="ignore"):
-                key = np.arange(how.bands, dtype=np.uint64)[None, :] * GOLDEN + np.uint64(seed)
+                key = np.arange(how.bands, dtype=np.uint64)[None, :] * GOLDEN + np.uint64(scope_hash(scope))
                 for r in range(how.rows):
                     key = mix64(key * GOLDEN + cut[:, :, r])
                 key = key.ravel()
-                task = ((key >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
+                task = ((key >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.uint16 if tasks <= 1 << 16 else np.int64)  # short numbers sort faster
             owner = np.repeat(np.arange(len(prints)), how.bands)
             order = np.argsort(task, kind="stable")
             key, owner, task = key[order].astype(np.uint32), owner[order], task[order]
             edge = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             blobs = []
             for lo, hi in zip(edge, edge[1:]):
-                who, count = np.unique(owner[lo:hi], return_counts=True)
+                own = owner[lo:hi]
+                begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                who, count = own[begin], np.diff(np.append(begin, hi - lo))
                 blobs.append(b"".join([np.array([len(who), hi - lo], np.uint32).tobytes(), count.astype(np.uint16).tobytes(), prints[who].tobytes(), key[lo:hi].tobytes()]))
-            yield pa.RecordBatch.from_arrays([pa.array(task[edge[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["task", "blob"])
+            none = (pa.nulls(len(blobs), kind) for kind in types[2:])
+            yield pa.RecordBatch.from_arrays([pa.array(task[edge[:-1]].astype(np.int32)), pa.array(blobs, types[1]), *none], names)
 
     return run
 
@@ -199,23 +242,46 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, np.uint32, m, 8 + 10 * n), np.repeat(who, count)
 
 
+def _grouped(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries (key, fingerprint) of keys that occur more than once, sorted. Keys have 32 bits, entries fewer than 2^32."""
+    both = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+    key, at = (both >> np.uint64(32)).astype(np.uint32), both & np.uint64(0xFFFFFFFF)
+    same = key[1:] == key[:-1]
+    kept = np.zeros(len(key), bool)
+    kept[1:] = same
+    kept[:-1] |= same
+    return distinct_pairs(key[kept], who[at[kept].astype(np.int64)])
+
+
+MET = "a bigint, b bigint, bucket bigint, n bigint, scope string"
+
+
 def _candidates(largest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of fingerprints that share a key, of the blobs of one task (a, b); the members of larger buckets (a, bucket, n texts in it)."""
+    """Pairs of fingerprints that share a key, of the blobs of one task (a, b); the members of larger buckets (a, bucket, n texts in it); fingerprints and ids of records (a, b, scope)."""
+
+    def row_batch(a: np.ndarray, b: np.ndarray | None = None, bucket: np.ndarray | None = None, n: np.ndarray | None = None, scope: str | None = None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (a, b, bucket, n)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([scope] * len(a), pa.string())], ["a", "b", "bucket", "n", "scope"])
 
     def pairs(first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = distinct_pairs(np.concatenate(first), np.concatenate(second))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], ["a", "b", "bucket", "n"])
+        return row_batch(*distinct_pairs(np.concatenate(first), np.concatenate(second)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, task = [], 0
         for batch in batches:
             task = batch.column("task")[0].as_py() if len(batch) else task
-            got += [_unpack(blob) for blob in batch.column("blob").to_pylist()]
+            for blob, scope, fp, i in zip(*(batch.column(c) for c in ("blob", "scope", "fp", "id"))):
+                if blob.is_valid:
+                    got.append(_unpack(blob.as_py()))
+                else:
+                    yield row_batch(fp.values.to_numpy(), i.values.to_numpy(), scope=scope.as_py())
         if not got:
             return
         key, who = (np.concatenate(x) for x in zip(*got))
         del got
-        key, who = distinct_pairs(key, who)
+        key, who = _grouped(key, who)
+        if not len(key):
+            return
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         begin, size = edge[:-1], np.diff(edge)
         large = np.flatnonzero(size > largest)
@@ -223,7 +289,7 @@ def _candidates(largest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             n = size[large]
             bucket = np.repeat(key[begin[large]].astype(np.int64) | task << 32, n)
             a = who[_ranges(begin[large], n)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(bucket), pa.array(np.repeat(n, n))], ["a", "b", "bucket", "n"])
+            yield row_batch(a, bucket=bucket, n=np.repeat(n, n))
         first, second, held = [], [], 0
         for n in range(2, largest + 1):
             at = begin[size == n]
@@ -322,10 +388,16 @@ def _sets(how: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """Sets of the distinct texts, as sorted 32-bit values: a pair of sets is compared wrongly about once in a million times, by one element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, prints, doc, element in _distinct_sets(batches, how):
-            doc, small = distinct_pairs(doc, element >> np.uint64(21))
-            edge = np.searchsorted(doc, np.arange(len(prints) + 1)) * 4
-            small = small.astype(np.uint32).tobytes()
+        sets = _DistinctSets(how)
+        for _, _, found, prints in _word_lists(batches, how):
+            fresh = sets.of(found, prints)
+            if fresh is None:
+                continue
+            prints, doc, element = fresh
+            small = (element >> np.uint64(21)).astype(np.uint32)
+            kept = np.concatenate([[True], (small[1:] != small[:-1]) | (doc[1:] != doc[:-1])])
+            edge = np.searchsorted(doc[kept], np.arange(len(prints) + 1)) * 4
+            small = small[kept].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array([small[lo:hi] for lo, hi in zip(edge, edge[1:])], pa.binary())], ["fp", "members"])
 
     return run
@@ -398,10 +470,11 @@ def near_duplicates(records: DataFrame, how: Similarity) -> NearDuplicates:
     """
     spark = records.sparkSession
     records = records.select("scope", "id", "text")
-    members = materialise(records.mapInArrow(_members(how), "scope string, fp bigint, id bigint"))
-    tasks = max(math.ceil(members.count() * how.bands / ENTRIES_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = records.mapInArrow(_bands(how, tasks), "task int, blob binary").repartitionById(tasks, F.col("task"))
-    met = materialise(packed.mapInArrow(_candidates(LARGEST_BUCKET), "a bigint, b bigint, bucket bigint, n bigint"))
+    tasks = max(math.ceil(records.count() * how.bands / ENTRIES_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = records.mapInArrow(_members_and_bands(how, tasks), PACKED).repartitionById(tasks, F.col("task"))
+    found = materialise(packed.mapInArrow(_candidates(LARGEST_BUCKET), MET))
+    members = found.where("scope is not null").select("scope", F.col("a").alias("fp"), F.col("b").alias("id"))
+    met = found.where("scope is null")
     sets = records.mapInArrow(_sets(how), "fp bigint, members binary").groupBy("fp").agg(F.first("members").alias("members"))
 
     pairs = met.where("bucket is null").select("a", "b").distinct()

@@ -14,6 +14,8 @@ import xxhash
 INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
 WORD = re.compile(r"[^\W_]+")
 MARKS = regex.compile(r"\p{M}+")
+#: ASCII letters in lower case, digits, and a space for anything else.
+ASCII_WORDS = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 #: Words kept in a worker's table of hashes before it is emptied; it only saves time.
 MEMO_WORDS = 400_000
 #: Longer words are hashed anew each time, so that the table stays small.
@@ -29,7 +31,13 @@ def fold(text: str) -> str:
 
 def words(text: str | None) -> list[str]:
     """Maximal runs of letters and digits of the folded text; none for a null."""
-    return WORD.findall(fold(text)) if text else []
+    if not text:
+        return []
+    if not text.isascii():
+        text = fold(text)
+        if not text.isascii():
+            return WORD.findall(text)
+    return text.encode().translate(ASCII_WORDS).decode().split()
 
 
 class WordHashes(dict):

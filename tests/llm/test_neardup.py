@@ -1,11 +1,13 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import udf
 
 from corpusmill.llm import neardup
-from corpusmill.llm.textnorm import words
+from corpusmill.llm.textnorm import WORD, fold, mix64, words
 
 HOW = neardup.HALF_OF_THREE_WORDS
 SCHEMA = "scope string, id long, text string, fp string"
@@ -99,6 +101,65 @@ def test_signatures_do_not_depend_on_the_batch():
     assert all((together[i] == alone[i]).all() for i in range(4)) and not together[4:].any()
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.3])
+def test_signatures_against_darts_one_by_one(weight):
+    """Names of the winners of sets of many sizes, of so many darts of each element that none that is left can be earlier."""
+    draw, k = np.random.default_rng(3), 32
+    sets = [draw.integers(0, 2**53, n, dtype=np.uint64) for n in (1, 3, 40, 700, 0, 9_000, 5)]
+    doc, element = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    found = neardup.dart_signatures(doc, element, np.full(len(doc), weight), len(sets), k)
+    for i, s in enumerate(sets):
+        winner, rank = np.full(k, np.iinfo(np.uint64).max), np.zeros(len(s), np.float32)
+        for turn in range(1, 20 + int(1_500 / weight / len(s)) if len(s) else 0):
+            with np.errstate(over="ignore"):
+                x = mix64(s + np.uint64(turn) * neardup.GOLDEN)
+                name = x * neardup.GOLDEN >> np.uint64(32)
+            rank = rank - np.log(((x >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32))
+            hit = (x & np.uint64(0xFFFF)).astype(float) / 2**16 < weight
+            np.minimum.at(winner, (name[hit] % np.uint64(k)).astype(np.int64), (rank.view(np.uint32).astype(np.uint64) << np.uint64(32) | name)[hit])
+        assert (found[i] == (winner if len(s) else 0)).all()
+
+
+def test_darts_of_a_signature(monkeypatch):
+    """A text takes k (log k + 2.5) darts at most on average: those that are incomplete go on where they stopped."""
+    thrown, draw, k, n = [], np.random.default_rng(4), HOW.coordinates, 400
+    monkeypatch.setattr(neardup, "mix64", lambda x: thrown.append(x.size) or mix64(x))
+    neardup.dart_signatures(np.repeat(np.arange(n), 100), draw.integers(0, 2**53, 100 * n, dtype=np.uint64), np.ones(100 * n), n, k)
+    assert sum(thrown) < n * k * (np.log(k) + 2.5)
+
+
+def test_texts_are_read_twice(spark):
+    """Once for members and bands, once for the sets."""
+    read = spark.sparkContext.accumulator(0)
+
+    @udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [("a", i, t, "") for i, t in enumerate(corpus(8, 50))]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("text", counted("text"))
+    assert neardup.record_pairs(neardup.near_duplicates(df, HOW)).count() > 0
+    assert read.value == 2 * len(rows)
+
+
+def test_entries_that_share_a_key():
+    draw = np.random.default_rng(5)
+    key, who = draw.integers(0, 3_000, 4_000).astype(np.uint32), draw.integers(2**64 - 3, 2**64 - 1, 4_000, dtype=np.uint64)
+    often = Counter(key.tolist())
+    expected = sorted({(a, b) for a, b in zip(key.tolist(), who.tolist()) if often[a] > 1})
+    for of in (slice(None), slice(0, 0), slice(0, 1)):
+        found = list(zip(*(x.tolist() for x in neardup._grouped(key[of], who[of]))))
+        assert found == (expected if of == slice(None) else [])
+
+
+def test_words_of_ascii_and_other_texts():
+    ascii_ = "".join(map(chr, range(128)))
+    texts = [ascii_, "a_b  C\x1cd\x00e9_", "\u2014 Caf\u00e9 \ufb01ne_\u00b2\u00ad3\u2019s", "\u00df\u0130 \u4e2d\u6587 x_y", "\u2026", " ", ""]
+    texts += ["".join(map(chr, np.random.default_rng(i).integers(0, 0x250, 300))) for i in range(50)]
+    assert [words(t) for t in texts] == [WORD.findall(fold(t)) for t in texts]
+
+
 def test_boilerplate_alone_is_still_found(spark):
     """A third of the texts are near copies of one text, so that all of its runs are frequent."""
     base = [f"b{i}" for i in range(60)]
